@@ -5,11 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import exact_dedup, packing, token_counts, token_files, url_filter
-from rivulet.llm.common import read_table, shared_dir
+from rivulet.llm import exact_dedup, lang_id, lm, packing, token_counts, token_files, toxicity, url_filter
+from rivulet.llm.common import id_bucket, read_table, shared_dir
 from rivulet.llm.encoders import default_path
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(read_table(spark, sf_dir, "documents"), id_bucket(F.col("doc_id"), 5) != 1)
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (id_bucket(F.col("doc_id"), 4) == 2).alias("held_out"))
+    return lang_id.identify(docs, docs.where("not held_out")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", (id_bucket(F.col("doc_id"), 3) == 1).alias("held_out"))
+    labels = read_table(spark, sf_dir, "labels").where(id_bucket(F.col("doc_id"), 3) != 1)
+    return toxicity.score_toxicity(docs, labels, docs.where("not held_out")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"), 2048, 0)
 
@@ -62,7 +77,7 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_best_fit_packing, op6_token_files, op8_url_filter, op9_token_counts, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_lm_scoring, op3_language_id, op4_toxicity, op5_best_fit_packing, op6_token_files, op8_url_filter, op9_token_counts, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
