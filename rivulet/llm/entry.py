@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import exact_dedup, lang_id, lm, packing, token_counts, token_files, toxicity, url_filter
+from rivulet.llm import decontam, exact_dedup, lang_id, lm, near_dedup, packing, token_counts, token_files, toxicity, url_filter
 from rivulet.llm.common import id_bucket, read_table, shared_dir
 from rivulet.llm.encoders import default_path
 
@@ -14,6 +14,11 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(read_table(spark, sf_dir, "documents"), id_bucket(F.col("doc_id"), 5) != 1)
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, percent=80)
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (id_bucket(F.col("doc_id"), 4) == 2).alias("held_out"))
     return lang_id.identify(docs, docs.where("not held_out")).select("doc_id", "held_out", "lang_pred", "score")
@@ -35,6 +40,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 #: (verdict, host, path) of the contract.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
@@ -77,7 +86,7 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_scoring, op3_language_id, op4_toxicity, op5_best_fit_packing, op6_token_files, op8_url_filter, op9_token_counts, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_near_dedup, op3_language_id, op4_toxicity, op5_best_fit_packing, op6_token_files, op7_decontamination, op8_url_filter, op9_token_counts, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
