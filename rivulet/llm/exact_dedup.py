@@ -45,6 +45,9 @@ def fold(records: DataFrame, folder: str, files_per_batch: int | None = None) ->
         spark.conf.set(name, records.sparkSession.conf.get(name))
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    # each state partition else reserves megabytes of disk that it never fills
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     base = shared_dir(spark, "state")
     out = f"{base}/updates"
     best = F.max(F.struct("id", "_file", "_row")).alias("top")
