@@ -145,12 +145,16 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows_per_la
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if (c := ngram_counts(x)) is not None:
-                    at = np.flatnonzero(c)
-                    yield pa.RecordBatch.from_pydict({"lang": [own], "at": [at.astype("<u4").tobytes()], "n": [c[at].astype("<u4").tobytes()]})
-
-    rows = known.where(place < F.element_at(share, F.col("lang"))).limit(2 * rows_per_lang * len(sizes)).mapInArrow(grams, "lang string, at binary, n binary").toArrow()
+            for a in range(0, batch.num_rows, 64):
+                out: list[list] = [[], [], []]
+                for x, own in zip(batch.column(0).slice(a, 64).to_pylist(), batch.column(1).slice(a, 64).to_pylist()):
+                    if (c := ngram_counts(x)) is not None:
+                        at = np.flatnonzero(c)
+                        for column, v in zip(out, (own, at.astype("<u4").tobytes(), c[at].astype("<u4").tobytes())):
+                            column.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["lang", "at", "n"])
+
+    rows = known.where(place < F.element_at(share, F.col("lang"))).mapInArrow(grams, "lang string, at binary, n binary").limit(2 * rows_per_lang * len(sizes)).toArrow()
     counts = [(np.frombuffer(a, "<u4").astype(np.int64), np.frombuffer(n, "<u4").astype(np.int64)) for a, n in zip(rows.column("at").to_pylist(), rows.column("n").to_pylist())]
     order = sorted(range(len(counts)), key=lambda i: (rows.column("lang")[i].as_py(), counts[i][0].tobytes(), counts[i][1].tobytes()))
     return train([counts[i] for i in order], [rows.column("lang")[i].as_py() for i in order])
