@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ LONGEST_KEPT = 48
 #: Entries a worker keeps.
 MOST_KEPT = 600_000
 #: Characters of texts that are looked up together.
-TOGETHER = 1 << 19
+TOGETHER = 1 << 20
 
 _PROCESS: dict[tuple, object] = {}
 
@@ -66,11 +67,13 @@ def _gathered(texts: Iterable[str | None]) -> Iterator[list[str]]:
 class ByteBpe:
     """Ids of a byte-level BPE file of the ``tokenizers`` library, add_special_tokens=False.
 
-    Its pre-tokenizer lets a single space open the next pre-token, so a cut before a space that is
-    followed by a non-space never parts one; special strings in a text hold no space.
+    Its pre-tokenizer lets a single space open the next pre-token and sets apart the last blank before
+    a non-blank, so a cut before a space or a line end that a non-blank follows never parts a pre-token;
+    special strings in a text hold no blank, and no cut is made right before one. A chunk is kept without the space before it; one that begins
+    with a line end has none. A new chunk of letters, with full stops or commas after them at most, is a
+    few pre-tokens and goes straight to the library's BPE model; any other is encoded as text.
     """
 
-    _CUT = re.compile(r" (?=\S)")
     _JOINED = 4096
 
     def __init__(self, blob: bytes):
@@ -80,24 +83,50 @@ class ByteBpe:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         added = self.tokenizer.get_added_tokens_decoder()
+        other = "".join(f"(?!{re.escape(t.content)})" for t in added.values())
+        self.cut = re.compile(rf" (?=\S){other}|(?=\n{other}\S)")
         self.between, self.mark = next(((i, t.content) for i, t in added.items() if t.special), (None, None))
         self.cache = ChunkCache(self._encode)
         self.first = ChunkCache(lambda new: [self._whole(c) for c in new])
+        self.model = self.tokenizer.model
+        self.model._resize_cache(0)  # it would hold what is kept here anyway
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = [b for b in range(256) if b not in shown]
+        self.printed = {b: 256 + k for k, b in enumerate(hidden)}  # how the byte-level alphabet writes a byte
+        self.line = self._whole("\n")
+        self.direct = all(self._letters(x) == self._whole(" " + x) and self.line + self._letters(x, "") == self._whole("\n" + x) for x in ("aé", "Ünder", "日本"))
+        self.ends: dict[str, bytes] = {"": b""}
+
+    def _letters(self, word: str, space: str = "Ġ") -> bytes:
+        """Ids of a word of letters and the space before it."""
+        seen = space + (word if word.isascii() else word.encode().decode("latin-1").translate(self.printed))
+        ids = [t.id for t in self.model.tokenize(seen)]
+        return struct.pack(f"<{len(ids)}{self.dtype.char}", *ids)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    @staticmethod
+    def _text(chunk: str) -> str:
+        return chunk if chunk[0] == "\n" else " " + chunk
+
     def _encode(self, new: list[str]) -> list[bytes]:
         """Many chunks at once: the special token set between them marks where each one ends."""
         out: dict[str, bytes] = {}
         plain = []
         for c in new:
-            if self.mark is None or self.mark in c or len(c) > LONGEST_KEPT:
-                out[c] = self._whole(" " + c)
+            core = c.rstrip(".,")
+            word = core[1:] if c[0] == "\n" else core
+            if self.direct and len(c) <= LONGEST_KEPT and word.isalpha():
+                if (end := self.ends.get(c[len(core) :])) is None:
+                    end = self.ends[c[len(core) :]] = self._whole(c[len(core) :])
+                out[c] = (self._letters(word) if word is core else self.line + self._letters(word, "")) + end
+            elif self.mark is None or self.mark in c or len(c) > LONGEST_KEPT:
+                out[c] = self._whole(self._text(c))
             else:
                 plain.append(c)
         groups = [plain[i : i + self._JOINED] for i in range(0, len(plain), self._JOINED)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([self.mark.join(" " + c for c in g) for g in groups], add_special_tokens=False)):
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([self.mark.join(map(self._text, g)) for g in groups], add_special_tokens=False)):
             ids = np.array(e.ids, np.int64)
             ends = np.append(np.flatnonzero(ids == self.between), len(ids))
             raw, w, begin = ids.astype(self.dtype).tobytes(), self.dtype.itemsize, 0
@@ -109,7 +138,7 @@ class ByteBpe:
     def batch(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """Ids of each whole text, in order; none for a null or empty one."""
         for group in _gathered(texts):
-            cut = [self._CUT.split(t) for t in group]
+            cut = [self.cut.split(t) for t in group]
             heads = self.first.values([[c[0]] if c[0] else [] for c in cut])
             for head, tail in zip(heads, self.cache.values([c[1:] for c in cut])):
                 yield np.frombuffer(b"".join(head + tail), self.dtype)
