@@ -151,11 +151,28 @@ def count_pairs(docs: DataFrame, classes: dict[bytes, int], text: str = "text")
     return out.reshape(size, size)
 
 
+def _frequent(counts: DataFrame, most: int = BROADCAST_WORDS) -> list[tuple[bytes, int]]:
+    """The most frequent words, ``most`` at the most, with their counts, in descending order.
+
+    A histogram of the counts' logarithms gives the least count that keeps to that number; no task sorts all words.
+    """
+    step = F.floor(F.log2("n") * 8)
+    least, total = None, 0
+    for k, n in sorted(map(tuple, counts.groupBy(step.alias("k")).count().collect()), reverse=True):
+        if (total := total + n) > most:
+            break
+        least = k
+    if least is None:
+        return []
+    rows = counts.where(step >= least).toArrow()
+    return sorted(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist()), key=lambda x: (-x[1], x[0]))
+
+
 def fit(docs: DataFrame, text: str = "text", steps: int = STEPS) -> tuple[Model, DataFrame]:
     """The model of all texts of ``docs``, and the table of word counts (word, n)."""
     counts = written(count_words(docs, text), "words")
     tokens, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = [(bytes(w), n) for w, n in counts.orderBy(F.desc("n"), "word").limit(BROADCAST_WORDS).toArrow().to_pandas().itertuples(index=False)]
+    top = _frequent(counts)
     frequent = [END, *[w for w, _ in top if w != END][: FREQUENT - 1]]
     classes = {w: i for i, w in enumerate(frequent)}
     pairs = count_pairs(docs, classes, text)
