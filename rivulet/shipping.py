@@ -1,4 +1,4 @@
-"""Makes this package importable in the Python workers of every executor."""
+"""Prepares a session: this package in the Python workers of every executor, and small batches for them."""
 
 from __future__ import annotations
 
@@ -9,8 +9,13 @@ import zipfile
 from pyspark.sql import SparkSession
 
 
+#: Bytes of rows that a Python worker gets at a time; Spark's own default is 64 MB, which some workers hold several times over.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def ship(spark: SparkSession) -> None:
-    """Hands the package's sources to Spark's file server, once for each application."""
+    """Hands the package's sources to Spark's file server, once for each application, and sets BATCH in the session."""
+    spark.conf.set(*BATCH)
     sc = spark.sparkContext
     if getattr(sc, "_rivulet_shipped", False):
         return
