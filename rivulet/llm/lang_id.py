@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of each language that the classifier is fitted on, about; twice that over all languages is never passed.
-ROWS_PER_LANG = 1200
+ROWS_PER_LANG = 600
 #: Languages learned at most, the most frequent first.
 MOST_LANGS = 256
 #: n-grams are hashed to 2 ** HASH_BITS features.
@@ -47,9 +47,10 @@ def ngram_counts(text: str | None, bits: int = HASH_BITS) -> np.ndarray | None:
         x = x[np.append(True, (x[1:] != 32) | (x[:-1] != 32))]
         one, two = x * np.uint32(0x9E3779B1), x[:-1] * np.uint32(0x85EBCA6B) + x[1:] * np.uint32(0xC2B2AE35)
         three = two[:-1] * np.uint32(0x27D4EB2F) + x[2:] * np.uint32(0x165667B1)
-        for h in (one[1:], two, three):
+        k = len(last)  # what the stretch before has counted
+        for h in (one[k:], two[k - 1 :], three[max(k - 2, 0) :]):
             total += np.bincount(h >> np.uint32(32 - bits), minlength=1 << bits)
-        last = x[-1:]
+        last = x[-2:]
     return total if any_letter else None
 
 
@@ -93,7 +94,7 @@ def train(counts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs
     rows = []
     for at, n in counts:
         x = np.log1p(n) * model.idf[at]
-        rows.append((at, x / np.sqrt((x * x).sum())))
+        rows.append((at, (x / np.sqrt((x * x).sum())).astype(np.float32)))
     order = np.random.default_rng(seed).permutation(len(rows))
     held = set(order[: max(1, len(rows) // 10)].tolist()) if len(rows) >= 20 else set()
     z, n = np.zeros((size + 1, len(langs))), np.zeros((size + 1, len(langs)))  # the last row is the bias
@@ -155,7 +156,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows_per_la
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["lang", "at", "n"])
 
     rows = known.where(place < F.element_at(share, F.col("lang"))).mapInArrow(grams, "lang string, at binary, n binary").limit(2 * rows_per_lang * len(sizes)).toArrow()
-    counts = [(np.frombuffer(a, "<u4").astype(np.int64), np.frombuffer(n, "<u4").astype(np.int64)) for a, n in zip(rows.column("at").to_pylist(), rows.column("n").to_pylist())]
+    counts = [(np.frombuffer(a, "<u4").astype(np.int32), np.frombuffer(n, "<u4")) for a, n in zip(rows.column("at").to_pylist(), rows.column("n").to_pylist())]
     order = sorted(range(len(counts)), key=lambda i: (rows.column("lang")[i].as_py(), counts[i][0].tobytes(), counts[i][1].tobytes()))
     return train([counts[i] for i in order], [rows.column("lang")[i].as_py() for i in order])
 
