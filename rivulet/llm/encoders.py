@@ -195,6 +195,11 @@ def per_process(kind: type, key: str, *blobs):
     return _PROCESS[k]
 
 
+def forget() -> None:
+    """Frees the encoders that an earlier operator has left in this worker process."""
+    _PROCESS.clear()
+
+
 def vocabulary(spark, path: str, most: int = 64 << 20):
     """(digest, broadcast) of a vocabulary file on the driver; its size is checked, and does not depend on the corpus."""
     with open(path, "rb") as f:

@@ -5,7 +5,8 @@ candidates; the registers of a pair give its similarity by maximum likelihood; w
 threshold is verified on the full shingle sets. Documents of one shingle set are one node. Inside a band
 bucket every node is first paired with the bucket's smallest node, so a bucket of n nodes gives n - 1
 pairs. Where a bucket's nodes then are in one component, nothing is left to find; in the others, nodes
-of different components are compared in blocks of bounded size.
+of different components are compared in blocks of bounded size, each pair in the first band it shares,
+and a block sends on one link for each node and component, not all pairs.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rivulet.llm import encoders
 from rivulet.llm.common import written
 from rivulet.llm.exact_dedup import with_locator
 from rivulet.llm.shingles import mix, shingle_set
@@ -30,8 +32,10 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 2
 #: An estimate this far below the threshold (six standard errors) rules a pair out.
 MARGIN = 0.2
-#: Nodes of a block.
-BLOCK = 256
+#: Nodes of a block, and shingles of each that a block holds: the smallest hashes, for most texts all of them.
+BLOCK, HELD = 1024, 512
+#: Margin of estimates from HELD hashes (five standard errors).
+HELD_MARGIN = 0.1
 
 _FACTORS = mix(np.arange(1, REGISTERS // 2 + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 
@@ -74,6 +78,7 @@ def sketched(docs: DataFrame, size: int, doc_id: str = "doc_id", text: str = "te
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoders.forget()
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
@@ -134,7 +139,7 @@ def _linked(percent: int):
     return linked
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int, text: str = "text") -> DataFrame:
+def verified(nodes: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold, written.
 
     The sizes must allow it and the registers' estimate must not rule it out; then the sets of both are compared.
@@ -143,9 +148,6 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, per
     near = pairs.join(of("a", "regs", "n_shingles"), "a").join(of("b", "regs", "n_shingles"), "b")
     near = near.where(100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b"))
     near = written(near.where(_close(percent)("regs_a", "regs_b", "n_shingles_a", "n_shingles_b")).select("a", "b"), "candidates")
-    used = near.select(F.col("a").alias("key")).union(near.select("b")).distinct()
-    places = nodes.select("key", "_file", "_row").join(used, "key", "left_semi").withColumnRenamed("key", "node")
-    sets = _sets(docs, places, size, text)
     both = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     return written(both.where(_linked(percent)("sa", "sb")).select("a", "b"), "links")
 
@@ -175,7 +177,50 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v")).distinct())
 
 
-def _crossed(buckets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _exact(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Number of common shingles of a sorted set with each of ``others`` (none of them empty)."""
+    every = np.concatenate(others)
+    at = np.minimum(np.searchsorted(own, every), len(own) - 1)
+    starts = np.cumsum([0, *map(len, others)])[:-1]
+    return np.add.reduceat((own[at] == every).astype(np.int64), starts)
+
+
+def _by_smallest(a: np.ndarray, b: np.ndarray) -> float:
+    """Estimate of the similarity of two sets from their smallest hashes."""
+    union = np.union1d(a, b)[: min(len(a), len(b))]
+    return float(np.isin(union, a[np.isin(a, b)]).mean())
+
+
+def _compared(block: pa.Table, percent: int, most: int = HELD) -> tuple[list[int], list[int]]:
+    """Links, and pairs that may be links, between nodes of side 1 and of side 0 in other components.
+
+    Sets of ``most`` shingles or fewer are compared in full. A node's links into one component are as good as one.
+    """
+    side, node, comp, n, band = (block.column(k).to_numpy() for k in ("side", "node", "component", "n_shingles", "band"))
+    regs = np.frombuffer(b"".join(block.column("regs").to_pylist()), "<u2").reshape(-1, REGISTERS)
+    held = [np.frombuffer(x, np.uint64) for x in block.column("held").to_pylist()]
+    right, out = np.flatnonzero(side == 0), ([], [])
+    for i in np.flatnonzero(side == 1).tolist():
+        fit = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+        if not len(fit):
+            continue
+        here = int(np.flatnonzero(bands(regs[i]) == band[i])[0])
+        fit = fit[(regs[fit] == regs[i]).reshape(-1, BANDS, ROWS).all(2).argmax(1) == here]
+        if len(fit):
+            fit = fit[estimate(np.broadcast_to(regs[i], (len(fit), REGISTERS)), regs[fit], np.full(len(fit), n[i]), n[fit], 32) >= percent / 100 - MARGIN]
+        small = fit[n[fit] <= most] if n[i] <= most else fit[:0]
+        found = [j for j in fit.tolist() if n[i] > most or n[j] > most]
+        found = [j for j in found if _by_smallest(held[i], held[j]) >= percent / 100 - HELD_MARGIN]
+        if len(small):
+            both = _exact(held[i], [held[j] for j in small.tolist()])
+            linked = small[100 * both >= percent * (n[i] + n[small] - both)]
+            found += linked[np.unique(comp[linked], return_index=True)[1]].tolist()
+        out[0].extend(min(int(node[j]), int(node[i])) for j in found)
+        out[1].extend(max(int(node[j]), int(node[i])) for j in found)
+    return out
+
+
+def _crossed(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, most: int = HELD) -> DataFrame:
     """Pairs (a, b) of one bucket but different components that may reach the threshold.
 
     ``buckets``: band, node, component, center. What isn't in the center's component is compared with
@@ -183,54 +228,40 @@ def _crossed(buckets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """
     home = buckets.where("node = center").select("band", F.col("component").alias("home"))
     sizes = buckets.join(home, "band").groupBy("band", "home").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("component") != F.col("home")).alias("o")).where("o > 0 and m > 2")
-    rows = buckets.join(sizes, "band").join(nodes.select(F.col("key").alias("node"), "regs", "n_shingles"), "node")
+    own = nodes.select(F.col("key").alias("node"), "regs", "n_shingles").join(sets.select("node", F.substring("shingles", 1, 8 * most).alias("held")), "node")
+    rows = buckets.join(sizes, "band").join(own, "node")
     spread = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
-    ways = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    members = rows.select("band", spread % ways("m"), F.explode(F.sequence(F.lit(0), ways("o") - 1)), F.lit(0).alias("side"), "node", "component", "regs", "n_shingles").toDF("band", "x", "y", "side", "node", "component", "regs", "n_shingles")
-    apart = rows.where("component != home").select("band", F.explode(F.sequence(F.lit(0), ways("m") - 1)), spread % ways("o"), F.lit(1).alias("side"), "node", "component", "regs", "n_shingles").toDF(*members.columns)
-    order = ["band", "x", "y"]
-
-    def compare(block: list[pa.RecordBatch]) -> tuple[list[int], list[int]]:
-        t = pa.Table.from_batches(block)
-        side, node, comp, n = (t.column(k).to_numpy() for k in ("side", "node", "component", "n_shingles"))
-        regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), "<u2").reshape(-1, REGISTERS)
-        left, right = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
-        out: tuple[list[int], list[int]] = ([], [])
-        for i in left.tolist():
-            fit = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-            if len(fit):
-                fit = fit[estimate(np.broadcast_to(regs[i], (len(fit), REGISTERS)), regs[fit], np.full(len(fit), n[i]), n[fit], 32) >= percent / 100 - MARGIN]
-                out[0].extend(np.minimum(node[fit], node[i]).tolist())
-                out[1].extend(np.maximum(node[fit], node[i]).tolist())
-        return out
+    ways = lambda n: F.ceil(F.col(n) / BLOCK).cast("long")
+    order, more = ["band", "x", "y"], ["node", "component", "regs", "n_shingles", "held"]
+    members = rows.select("band", (spread % ways("m")).alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), ways("o") - 1)).alias("y"), F.lit(0).alias("side"), *more)
+    apart = rows.where("component != home").select("band", F.explode(F.sequence(F.lit(0).cast("long"), ways("m") - 1)).alias("x"), (spread % ways("o")).alias("y"), F.lit(1).alias("side"), *more)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, own = [], None
+        held, at = [], None
 
         def done() -> Iterator[pa.RecordBatch]:
             if held:
-                a, b = compare(held)
+                a, b = _compared(pa.Table.from_batches(held), percent, most)
                 if a:
                     yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
         for batch in batches:
-            keys = np.stack([batch.column(k).to_numpy() for k in order]) if batch.num_rows else np.empty((3, 0))
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy() for k in order])
             cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
             for s, e in zip(cuts, cuts[1:]):
-                if s == e:
-                    continue
-                if own is not None and tuple(keys[:, s]) != own:
+                if at is not None and tuple(keys[:, s]) != at:
                     yield from done()
                     held = []
-                own = tuple(keys[:, s])
+                at = tuple(keys[:, s])
                 held.append(batch.slice(s, e - s))
         yield from done()
 
-    both = members.union(apart).withColumn("x", F.col("x").cast("long")).withColumn("y", F.col("y").cast("long"))
-    return both.repartition(*order).sortWithinPartitions(*order).mapInArrow(blocks, "a long, b long").distinct()
+    return members.union(apart).repartition(*order).sortWithinPartitions(*order).mapInArrow(blocks, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", held: int = HELD) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, is_kept, and its place (_file, _row).
 
     Two rows are linked when 100 * intersection >= ``percent`` * union of their sets of ``shingle``-word
@@ -247,13 +278,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     heads = banded.groupBy("band").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     buckets = written(banded.join(heads, "band"), "buckets")
     stars = buckets.where("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    links = verified(docs, nodes, stars, shingle, percent, text)
+    places = nodes.select(F.col("key").alias("node"), "_file", "_row").join(buckets.select("node").distinct(), "node", "left_semi")
+    sets = _sets(docs, places, shingle, text)
+    links = verified(nodes, sets, stars, percent)
     found = components(links)
     placed = written(buckets.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
     mixed = placed.groupBy("band").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count(F.lit(1)).alias("n")).where("p != q and n > 2").select("band")
-    crossed = written(_crossed(placed.join(mixed, "band", "left_semi"), nodes, percent).join(stars, ["a", "b"], "left_anti"), "crossed")
+    crossed = written(_crossed(placed.join(mixed, "band", "left_semi"), nodes, sets, percent, held), "crossed")
     if not crossed.isEmpty():
-        links = links.union(verified(docs, nodes, crossed, shingle, percent, text))
+        links = links.union(verified(nodes, sets, crossed, percent))
         found = components(links)
     # from nodes to rows
     place = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
