@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from rivulet.functions.user import UserFunction
 from rivulet.operators.stream import Context, Stream
 from rivulet.plans.nodes import Cron, Period
+from rivulet.plans.parser import parse
 from rivulet.session import Session, stream
-from rivulet.sources import lookups, writers
+from rivulet.sources import lookups, readers, writers
+from rivulet.storage import shared_dir
+from rivulet.types import TupleSchema, from_json_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -414,6 +417,43 @@ def emit_json(spark, sf):
     return writers.as_json(orders(spark, sf).project(["o_orderkey", "o_orderstatus", "o_orderdate"]))
 
 
+# sources and streams
+@query("SELECT event_id, user_id, event_type, round(value, 6) AS value, floor(epoch(ts))::BIGINT AS s FROM events WHERE event_type <> 'view'")
+def source_json(spark, sf):
+    """Records as JSON lines, read by a declared schema; timestamps come as epoch seconds, a record with an unknown field is dropped."""
+    df = table(spark, sf, "events").withColumn("ts", F.unix_seconds(F.col("ts").cast("timestamp")))
+    extra = F.when(F.col("event_type") == "view", F.lit(1)).alias("unknown")
+    lines = df.select(F.to_json(F.struct("event_id", "user_id", "event_type", "value", "ts", extra)).alias("value"))
+    own = parse("CREATE TUPLE e (event_id BIGINT, user_id BIGINT, event_type STRING, value DOUBLE, ts TIMESTAMP)").args
+    rows = stream(from_json_lines(lines, TupleSchema("e", own["fields"])), "e", "event_id", "ts")
+    return rows.each("event_id, user_id, event_type, value, cast(ts AS BIGINT) AS s").df.withColumn("value", F.round("value", 6))
+
+
+def _streamed(spark: SparkSession, sf: str, build: Callable[[Stream], Stream]) -> DataFrame:
+    """``build`` over the events as a stream, run to its end; what the sink has got."""
+    base = shared_dir(spark, "stream")
+    live = readers.parquet_stream(spark, sf, "event_id", "ts", "events.parquet")
+    out = build(Stream({"events": live})).df
+    out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{base}/out")
+
+
+@query(f"SELECT event_id, (sum(user_id) OVER w)::BIGINT AS s, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY event_type {_RUN})")
+def stream_running(spark, sf):
+    """Structured Streaming: one output row for each input row, with state in the state store."""
+    return _streamed(spark, sf, lambda s: s.begin_group("event_type").each("event_id, sum(user_id) AS s, count() AS n"))
+
+
+@query(SQL["limit_first_time"])
+def stream_limit(spark, sf):
+    return _streamed(spark, sf, lambda s: s.begin_group("user_id").limit(True, Period(86400, "1days")).each("event_id"))
+
+
+@query("SELECT event_id, count(*) OVER w AS n, array_to_string(list(event_type) OVER w, ',') AS l FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS 2 PRECEDING)")
+def stream_slide(spark, sf):
+    return _streamed(spark, sf, lambda s: s.begin_group("user_id").slide(3, "event_id, count() AS n, collect_list(event_type) AS l")).withColumn("l", F.array_join("l", ","))
+
+
 # functions of one's own
 class Doubled:
     returns = "bigint"

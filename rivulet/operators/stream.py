@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -127,6 +127,9 @@ class Stream:
 
     # operators
     def filter(self, condition: Any) -> Stream:
+        """Keeps rows for which ``condition`` (text, a parsed condition, or a Column) is true."""
+        if isinstance(condition, Column):
+            return self._map(lambda df, _: df.where(F.coalesce(condition, F.lit(False))))
         own = self._condition(condition)
         return self._map(lambda df, bind: df.where(bind(df, None).condition(own)))
 

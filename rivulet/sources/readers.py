@@ -37,12 +37,16 @@ def json_folder(spark: SparkSession, path: str, schema: TupleSchema, streaming:
     return prepared(rows)
 
 
-def parquet_table(spark: SparkSession, path: str, seq: str | None = None, clock: str | None = None, streaming: bool = False) -> DataFrame:
-    if streaming:
-        return prepared(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path), seq, clock)
+def parquet_table(spark: SparkSession, path: str, seq: str | None = None, clock: str | None = None) -> DataFrame:
     return prepared(spark.read.parquet(path), seq, clock)
 
 
+def parquet_stream(spark: SparkSession, folder: str, seq: str | None = None, clock: str | None = None, files: str = "*.parquet") -> DataFrame:
+    """The files of a folder whose names match ``files``, those there now and new ones as they come."""
+    schema = spark.read.option("pathGlobFilter", files).parquet(folder).schema
+    return prepared(spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder), seq, clock)
+
+
 def kafka_options(servers: str, topic: str, start_offset: int | None = None, from_start: bool = False, most: int = 1 << 20) -> dict[str, str]:
     """Options of Spark's Kafka source: where to start, and how many records a trigger takes at most."""
     offsets = "earliest" if from_start or start_offset in (-2, 0) else "latest" if start_offset in (None, -1) else f'{{"{topic}": {{"0": {start_offset}}}}}'

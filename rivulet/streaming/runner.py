@@ -16,6 +16,7 @@ from rivulet.streaming.folds import Fold
 
 #: Rows that are taken from, or given to, Spark at a time.
 _TOGETHER = 4096
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _output(df: DataFrame, fold: Fold) -> T.StructType:
@@ -52,7 +53,11 @@ def _batch(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold)
 
 
 def _stream(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold) -> DataFrame:
-    """The state is kept, pickled, under the group's key in the state store; rows of a micro-batch are folded in order."""
+    """The state is kept, pickled, under the group's key in the state store; rows of a micro-batch are folded in order.
+
+    Such state needs the RocksDB store, which the session is set to.
+    """
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     schema = _output(df, fold)
     names = schema.names
 
