@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rivulet.llm import encoders
+
 #: Rows of each language that the classifier is fitted on, about; twice that over all languages is never passed.
 ROWS_PER_LANG = 600
 #: Languages learned at most, the most frequent first.
@@ -170,6 +172,7 @@ def predicted(model: Model, docs: DataFrame, text: str = "text") -> Column:
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoders.forget()
         for batch in batches:
             got = [shared.value.predict(x) for x in batch.to_pylist()]
             yield pa.StructArray.from_arrays([pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=["lang_pred", "score"])
