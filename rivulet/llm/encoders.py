@@ -8,6 +8,8 @@ cache takes no new chunks, which then are encoded each time.
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import hashlib
 import re
 import struct
@@ -51,6 +53,18 @@ class ChunkCache:
         return out
 
 
+@contextlib.contextmanager
+def _no_collection() -> Iterator[None]:
+    """Many small objects come and go here, none of them in cycles: the collector would look through them in vain."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def _gathered(texts: Iterable[str | None]) -> Iterator[list[str]]:
     """Groups of consecutive texts of about TOGETHER characters, at least one text each."""
     group, n = [], 0
@@ -138,9 +152,11 @@ class ByteBpe:
     def batch(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """Ids of each whole text, in order; none for a null or empty one."""
         for group in _gathered(texts):
-            cut = [self.cut.split(t) for t in group]
-            heads = self.first.values([[c[0]] if c[0] else [] for c in cut])
-            for head, tail in zip(heads, self.cache.values([c[1:] for c in cut])):
+            with _no_collection():
+                cut = [self.cut.split(t) for t in group]
+                heads = self.first.values([[c[0]] if c[0] else [] for c in cut])
+                tails = self.cache.values([c[1:] for c in cut])
+            for head, tail in zip(heads, tails):
                 yield np.frombuffer(b"".join(head + tail), self.dtype)
 
     def ids(self, text: str | None) -> np.ndarray:
