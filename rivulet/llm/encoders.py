@@ -24,6 +24,9 @@ MOST_KEPT = 600_000
 #: Characters of texts that are looked up together.
 TOGETHER = 1 << 20
 
+#: White space other than the blank and the line end, and pairs of these two.
+_ODD = ("  ", "\n\n", " \n", "\n ", *"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
+
 _PROCESS: dict[tuple, object] = {}
 
 
@@ -99,6 +102,7 @@ class ByteBpe:
         added = self.tokenizer.get_added_tokens_decoder()
         other = "".join(f"(?!{re.escape(t.content)})" for t in added.values())
         self.cut = re.compile(rf" (?=\S){other}|(?=\n{other}\S)")
+        self.odd = (*_ODD, *(t.content for t in added.values()))
         self.between, self.mark = next(((i, t.content) for i, t in added.items() if t.special), (None, None))
         self.cache = ChunkCache(self._encode)
         self.first = ChunkCache(lambda new: [self._whole(c) for c in new])
@@ -120,6 +124,12 @@ class ByteBpe:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def chunks(self, text: str) -> list[str]:
+        """The text cut into chunks. Where blanks and line ends stand alone, plain splitting makes the same cuts."""
+        if text[-1:] in ("", " ", "\n") or any(x in text for x in self.odd):
+            return self.cut.split(text)
+        return text.replace("\n", " \n").split(" ")
+
     @staticmethod
     def _text(chunk: str) -> str:
         return chunk if chunk[0] == "\n" else " " + chunk
@@ -134,7 +144,10 @@ class ByteBpe:
             if self.direct and len(c) <= LONGEST_KEPT and word.isalpha():
                 if (end := self.ends.get(c[len(core) :])) is None:
                     end = self.ends[c[len(core) :]] = self._whole(c[len(core) :])
-                out[c] = (self._letters(word) if word is core else self.line + self._letters(word, "")) + end
+                if word is not core:
+                    out[c] = self.line + self._letters(word, "") + end
+                else:
+                    out[c] = (self.cache.kept.get(word) or self._letters(word)) + end
             elif self.mark is None or self.mark in c or len(c) > LONGEST_KEPT:
                 out[c] = self._whole(self._text(c))
             else:
@@ -153,7 +166,7 @@ class ByteBpe:
         """Ids of each whole text, in order; none for a null or empty one."""
         for group in _gathered(texts):
             with _no_collection():
-                cut = [self.cut.split(t) for t in group]
+                cut = [self.chunks(t) for t in group]
                 heads = self.first.values([[c[0]] if c[0] else [] for c in cut])
                 tails = self.cache.values([c[1:] for c in cut])
             for head, tail in zip(heads, tails):

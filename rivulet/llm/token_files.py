@@ -56,8 +56,8 @@ class TokenBlock:
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS) -> None:
     """Encodes every whole ``text`` with the byte-level BPE file ``tokenizer``, appends ``end_id`` and writes blocks in ascending id order.
 
-    One range shuffle by id orders the documents; a null id comes first, rows of one id are ordered by
-    their text. A null or empty text is the end id alone. Other columns of ``docs`` are not read.
+    One range shuffle by id orders the documents (its bounds are sampled from the ids alone); a null id
+    comes first, rows of one id are ordered by their text and stand in one shard. A null or empty text is the end id alone. Other columns of ``docs`` are not read.
     """
     key, blob = vocabulary(docs.sparkSession, tokenizer)
 
@@ -82,9 +82,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, d
         if ids:
             yield row()
 
-    tie = F.xxhash64("text")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text").mapInArrow(blocks, _SCHEMA).write.parquet(path)
+    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(blocks, _SCHEMA).write.parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
