@@ -17,11 +17,14 @@ from pyspark.sql import functions as F
 
 from rivulet.llm.common import ascii_lower, shared_dir, written
 
+#: Groups with more rows than 1 / HOT of all, and than LEAST_HOT, are joined by broadcast.
+HOT, LEAST_HOT = 5000, 1000
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def sha256(norm: Column) -> Column:
-    return F.unhex(F.sha2(norm.cast("binary"), 256))
+    # known not to be null, so that no filter computes it a second time
+    return F.coalesce(F.unhex(F.sha2(norm.cast("binary"), 256)), F.lit(b""))
 
 
 def with_locator(docs: DataFrame) -> DataFrame:
@@ -33,6 +36,20 @@ def with_locator(docs: DataFrame) -> DataFrame:
         return kept.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
 
 
+def _sieved(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """The rows whose digest begins with the same 24 bits as one of ``hits``: most others need no shuffle then.
+
+    The bits are a bitmap of 2 ** 24 places in at most 513 rows, 2 MB at any size of the corpus.
+    """
+    place = (F.coalesce(F.conv(F.hex(F.substring("digest", 1, 3)), 16, 10).cast("long"), F.lit(0)) + 1).alias("place")
+    bits = hits.select(place).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bitmap"))
+    at = F.bitmap_bit_position("place")
+    byte = F.conv(F.hex(F.substring(F.col("bitmap"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    set_bit = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    found = rows.withColumn("place", place).withColumn("bucket", F.bitmap_bucket_number("place")).join(F.broadcast(bits), "bucket").where(set_bit)
+    return found.select(*rows.columns)
+
+
 def fold(records: DataFrame, folder: str, files_per_batch: int | None = None) -> DataFrame:
     """The state after all records: digest, keep_id, keep_file, keep_row, group_size.
 
@@ -82,13 +99,19 @@ def exact_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", d
     records = docs.sparkSession.read.parquet(folder)
     state = fold(records, folder, files_per_batch)
 
-    # full bytes on hits: equal texts of a task collapse before the shuffle
-    hit = state.where("group_size > 1").select("digest")
-    texts = rows.select(digest(F.col("norm")).alias("digest"), "norm").join(hit, "digest", "left_semi").groupBy("digest", "norm").count()
+    # no more than HOT groups can be larger than this: they are broadcast, so that their rows stay where they are
+    large = max(LEAST_HOT, records.count() // HOT)
+    hot, cold = F.broadcast(state.where(F.col("group_size") > large)), state.where(F.col("group_size") <= large)
+    others = lambda df: df.join(hot.select("digest"), "digest", "left_anti")
+
+    # full bytes on hits (inner joins with distinct digests: Spark would move a semi-join below the sieve): equal texts of a large group collapse in each task before the shuffle
+    both = _sieved(rows.select(digest(F.col("norm")).alias("digest"), "norm"), state.where("group_size > 1"))
+    texts = both.join(hot.select("digest"), "digest").groupBy("digest", "norm").count()
+    texts = texts.union(others(both).join(cold.where("group_size > 1").select("digest"), "digest").groupBy("digest", "norm").count())
     clash = written(texts.groupBy("digest").count().where("count > 1").select("digest"), "clashes")
     keep = [F.col("keep_id"), F.col("keep_file"), F.col("keep_row"), F.col("group_size")]
     if clash.isEmpty():
-        out = records.join(state, "digest").select("id", "_file", "_row", "digest", *keep)
+        out = records.join(hot, "digest").union(others(records).join(cold, "digest")).select("id", "_file", "_row", "digest", *keep)
     else:
         good = records.join(state.join(clash, "digest", "left_anti"), "digest").select("id", "_file", "_row", "digest", *keep)
         mixed = rows.withColumn("digest", digest(F.col("norm"))).join(clash, "digest", "left_semi")

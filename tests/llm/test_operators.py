@@ -58,7 +58,9 @@ def test_exact_classes(spark):
     assert kept.columns == odd(spark).columns and sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 2), (False, 4), (False, 5), (False, 7), (False, 8), (False, 9), (True, 0)]
 
 
-def test_exact_classes_by_a_weak_digest_and_many_batches(spark):
+@pytest.mark.parametrize("least_hot", [1000, 1])
+def test_exact_classes_by_a_weak_digest_and_many_batches(spark, monkeypatch, least_hot):
+    monkeypatch.setattr(exact_dedup, "LEAST_HOT", least_hot)
     weak = lambda c: F.substring(F.unhex(F.sha2(c.cast("binary"), 256)), 1, 1)
     docs = documents(spark)
     want = {r.id: (r.keep_id, r.group_size) for r in exact_dedup.exact_classes(docs).collect()}
@@ -98,8 +100,8 @@ def test_near_duplicates_of_documents(spark):
     assert got == brute_components(texts(docs), 4, 80)
 
 
-@pytest.mark.parametrize("block", [256, 3])
-def test_near_duplicates_in_large_groups(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "held"), [(256, 512), (3, 512), (256, 60)])
+def test_near_duplicates_in_large_groups(spark, monkeypatch, block, held):
     """Chains, copies of one text with changes, and texts that share a passage without being near copies."""
     monkeypatch.setattr(near_dedup, "BLOCK", block)
     rng = random.Random(5)
@@ -117,7 +119,7 @@ def test_near_duplicates_in_large_groups(spark, monkeypatch, block):
         own = own[4:] + [word() for _ in range(4)]
         rows.append((200 + i, " ".join(own)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs, 3, 80).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs, 3, 80, held=held).collect()}
     assert got == brute_components(dict(rows), 3, 80)
     kept = near_dedup.drop_near_duplicates(docs, 3, 80)
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in got.values()})
