@@ -146,7 +146,7 @@ def train(texts: list[str], toxic: list[int], prior: float) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", rows_per_class: int = ROWS_PER_CLASS) -> Model | None:
-    """Fits on a sample of the labelled rows, about ``rows_per_class`` of each class and never over four times that.
+    """Fits on a sample of the labelled rows, about ``rows_per_class`` of each class and never over 2 * ``rows_per_class`` + 1000 in all.
 
     Labels that are null or whose id is null or not in ``docs`` are not learned from. None where a class has no row.
     """
@@ -158,7 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     share = F.when(F.col("_toxic") == 1, rows_per_class / sizes[1]).otherwise(rows_per_class / sizes[0])
     sample = marks.where(place < share).limit(2 * rows_per_class + 1000)
     found = docs.where(F.octet_length(text) <= SAMPLE_BYTES).select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
-    rows = found.join(F.broadcast(sample), "_id").limit(4 * rows_per_class).select("_id", "_text", "_toxic").toArrow().sort_by("_id")
+    # one text for each sampled label, whatever rows repeat its id
+    rows = found.join(F.broadcast(sample), "_id").groupBy("_id", "_toxic").agg(F.min("_text").alias("_text")).toArrow().sort_by([("_id", "ascending"), ("_toxic", "ascending")])
     y = rows.column("_toxic").to_pylist()
     if len(set(y)) < 2:
         return None
