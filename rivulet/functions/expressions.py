@@ -118,18 +118,25 @@ class Binder:
         return SCALARS[x.name]([self.value(a) for a in x.args])
 
     # conditions have two values: what is null, or can't be compared, is false at its leaf
-    def condition(self, x: Any) -> Column:
+    def condition(self, x: Any, negated: bool = False) -> Column:
+        """A condition for ``where``. Only below a NOT must a null be made false; elsewhere it counts as false
+        anyway, and a plain comparison is pushed down to the scan."""
         if isinstance(x, Logic):
-            out = self.condition(x.values[0])
+            out = self.condition(x.values[0], negated)
             for v in x.values[1:]:
-                out = out & self.condition(v) if x.op == "AND" else out | self.condition(v)
+                own = self.condition(v, negated)
+                out = out & own if x.op == "AND" else out | own
             return out
         if isinstance(x, Not):
-            return ~self.condition(x.value)
+            if isinstance(x.value, Compare) and x.value.op == "NULL":
+                return self.value(x.value.left)[0].isNotNull()
+            return ~self.condition(x.value, True)
         if isinstance(x, Compare):
-            return F.coalesce(self._compare(x), F.lit(False))
-        c, t = self.value(x)
-        return F.coalesce(c, F.lit(False)) if isinstance(t, T.BooleanType) else F.lit(False)
+            own = self._compare(x)
+        else:
+            c, t = self.value(x)
+            own = c if isinstance(t, T.BooleanType) else F.lit(False)
+        return F.coalesce(own, F.lit(False)) if negated else own
 
     def _compare(self, x: Compare) -> Column:
         c, t = self.value(x.left)
