@@ -70,7 +70,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: Sequence[str] = ("do
     similarity is the weighted Jaccard similarity of the shingles of window and item, a shingle weighing
     its number divided by the number of items that have it; only ``threshold`` and more is reported. start
     counts words. Items of fewer than ``shingle`` words are one shingle. Null or wordless texts and items
-    hold and match nothing. Rows equal in ``keys`` are reported as one.
+    hold and match nothing. Rows equal in ``keys`` are reported as one: all items that any of them holds.
     """
     keys = list(keys)
     items = benchmark.select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("own")).withColumn("size", F.size("own")).where("size > 0").distinct()
@@ -91,7 +91,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: Sequence[str] = ("do
         found = at if found is None else found.unionByName(at)
     start = F.greatest(F.least(F.col("at") - F.col("j"), F.size("own") - F.col("size")), F.lit(0))
     windows = found.select(*keys, "size", start.alias("start"), "own").select(*keys, "size", "start", F.slice("own", F.col("start") + 1, F.col("size")).alias("own")).where(F.size("own") > 0).distinct()
-    place = [*keys, "size", "start"]
+    windows = windows.withColumn("of", F.xxhash64("own"))  # rows equal in keys may have different windows at one place
+    place = [*keys, "size", "start", "of"]
     window_rows = windows.select(*place, F.explode(_any_size(F.col("own"), F.size("own"), shingle, sizes)).alias("h")).groupBy(*place, "h").agg(F.count(F.lit(1)).alias("n"))
     window_rows = written(window_rows.join(held(weights), "h", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0))), "windows")
 
@@ -103,7 +104,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: Sequence[str] = ("do
     pairs = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select(*place, "item_id", "total", "item_total").distinct()
 
     # exact similarity
-    same = [pairs[c].eqNullSafe(window_rows[c]) for c in keys] + [pairs[c] == window_rows[c] for c in ("size", "start")]
+    same = [pairs[c].eqNullSafe(window_rows[c]) for c in keys] + [pairs[c] == window_rows[c] for c in ("size", "start", "of")]
     each = pairs.join(window_rows, same).select(*[pairs[c] for c in place], "item_id", "total", "item_total", "h", F.col("n").alias("n_window"), "weight")
     both = each.join(held(item_rows.select("item_id", "size", "h", F.col("n").alias("n_item"))), ["item_id", "size", "h"])
     inter = both.groupBy(*place, "item_id", "total", "item_total").agg(F.sum(F.least("n_window", "n_item") * F.col("weight")).alias("inter"))

@@ -334,6 +334,14 @@ def test_leaks_of_odd_tables(spark):
     assert decontam.drop_leaks(odd(spark), bench).count() == 9 and decontam.drop_leaks(odd(spark), none).columns == odd(spark).columns
 
 
+def test_leaks_of_rows_equal_in_ids(spark):
+    item = lambda i: " ".join(f"w{i}x{j}" for j in range(20))
+    bench = spark.createDataFrame([(i, item(i)) for i in range(4)] + [(4, "one two"), (5, "six ten")], "item_id long, text string")
+    rows = [(7, item(0)), (7, item(1)), (7, item(1)), (None, item(2)), (None, item(3)), (None, None), (8, "one two"), (8, "six ten"), (8, "one ten"), (9, f"a {item(0)} b"), (9, f"c {item(3)} d")]
+    got = {(r.doc_id, r.item_id): (r.start, r.similarity) for r in decontam.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(7, 0): (0, 1.0), (7, 1): (0, 1.0), (None, 2): (0, 1.0), (None, 3): (0, 1.0), (8, 4): (0, 1.0), (8, 5): (0, 1.0), (9, 0): (1, 1.0), (9, 3): (1, 1.0)}
+
+
 # url rules
 URLS = ["http://a.example.com/en/71?x=1", "https://EXAMPLE.com/en/8", "http://com/en/", "http://xcom/en/1", "http://b.net/de/80#f", "http://example.net/de/8", "http://example.net/de", "http://w.org/es/1", "no url", "", None, "://x.com/en/1", "http://example.com?/en/7", "http://net:80/de/1"]
 
