@@ -17,10 +17,8 @@ from pyspark.sql import functions as F
 
 from rivulet.llm import encoders
 
-#: Rows of each language that the classifier is fitted on, about; twice that over all languages is never passed.
+#: Distinct texts of each language that the classifier is fitted on, about.
 ROWS_PER_LANG = 600
-#: Languages learned at most, the most frequent first.
-MOST_LANGS = 256
 #: n-grams are hashed to 2 ** HASH_BITS features.
 HASH_BITS = 14
 #: Characters that are turned into n-grams together.
@@ -86,7 +84,8 @@ class Model:
 def train(counts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs: int = 3, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, seed: int = 0) -> Model:
     """FTRL-proximal with L1 and L2 on nine tenths of the rows (indices and counts); the rest fits the temperature."""
     langs, size = sorted(set(labels)), 1 << HASH_BITS
-    y = np.array([langs.index(x) for x in labels], np.int64)
+    place = {x: i for i, x in enumerate(langs)}
+    y = np.array([place[x] for x in labels], np.int64)
     df = np.zeros(size)
     for at, _ in counts:
         df[at] += 1
@@ -134,17 +133,16 @@ def train(counts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows_per_lang: int = ROWS_PER_LANG) -> Model:
-    """Fits on a sample of ``labelled``: about ``rows_per_lang`` rows of each language, taken by a hash of the text.
+    """Fits on a sample of ``labelled``: about ``rows_per_lang`` distinct texts of each language, taken by a hash of the text.
 
-    Rows with null language, or whose text has no letter, are not learned from. Executors count the n-grams;
-    the driver gets at most 2 ** HASH_BITS numbers for each sampled row.
+    A text counts once for a language, however many rows repeat it. Every language is learned; one with fewer
+    texts gives all of them. Rows with null language, or whose text has no letter, are not learned from.
+    Executors count the n-grams; the driver gets at most 2 ** HASH_BITS numbers for each sampled text.
     """
-    known = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = dict(map(tuple, labelled.where(F.col(lang).isNotNull()).groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MOST_LANGS).collect()))
-    if not sizes:
-        return Model([], np.zeros(0), np.zeros((0, 0)), np.zeros(0))
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, rows_per_lang / n)))])
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
+    known = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(text).alias("h"))
+    sizes = known.groupBy("lang").agg((F.lit(float(rows_per_lang)) / F.approx_count_distinct("h", 0.02)).alias("share"))
+    place = F.pmod(F.col("h"), F.lit(1 << 30)) / float(1 << 30)
+    sample = known.join(F.broadcast(sizes), "lang").where(place < F.col("share")).groupBy("lang", "h").agg(F.min("text").alias("text")).select("text", "lang")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +155,9 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows_per_la
                             column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["lang", "at", "n"])
 
-    rows = known.where(place < F.element_at(share, F.col("lang"))).mapInArrow(grams, "lang string, at binary, n binary").limit(2 * rows_per_lang * len(sizes)).toArrow()
+    rows = sample.mapInArrow(grams, "lang string, at binary, n binary").toArrow()
+    if not rows.num_rows:
+        return Model([], np.zeros(0), np.zeros((0, 0)), np.zeros(0))
     counts = [(np.frombuffer(a, "<u4").astype(np.int32), np.frombuffer(n, "<u4")) for a, n in zip(rows.column("at").to_pylist(), rows.column("n").to_pylist())]
     order = sorted(range(len(counts)), key=lambda i: (rows.column("lang")[i].as_py(), counts[i][0].tobytes(), counts[i][1].tobytes()))
     return train([counts[i] for i in order], [rows.column("lang")[i].as_py() for i in order])
@@ -166,7 +166,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows_per_la
 def predicted(model: Model, docs: DataFrame, text: str = "text") -> Column:
     """Column struct(lang_pred, score) for each whole text; (und, 0) for null texts and those without a letter.
 
-    The model is bounded: 2 ** HASH_BITS numbers for each of at most MOST_LANGS languages.
+    The model holds 2 ** HASH_BITS numbers for each language.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
