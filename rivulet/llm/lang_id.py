@@ -24,6 +24,8 @@ HASH_BITS = 14
 #: Characters that are turned into n-grams together.
 _STRETCH = 1 << 20
 UNDETERMINED = "und"
+#: Trigrams are hashed to 2 ** KNOWN_BITS places; known are those in this share of a language's sampled texts; texts with a larger share of others are not kept.
+KNOWN_BITS, KNOWN_SHARE, MOST_UNKNOWN = 20, 0.01, 0.5
 
 
 @functools.cache
@@ -34,26 +36,38 @@ def _letters() -> np.ndarray:
     return out
 
 
-def ngram_counts(text: str | None, bits: int = HASH_BITS) -> np.ndarray | None:
-    """Counts of hashed 1- to 3-grams of the lower-cased text, runs of other characters being one blank; None without a letter."""
-    if not text:
-        return None
-    total, any_letter, last = np.zeros(1 << bits, np.int64), False, np.array([32], np.uint32)
+def _stretches(text: str) -> Iterator[tuple[bool, tuple[np.ndarray, ...]]]:
+    """Of each stretch, whether it has a letter, and the hashes of its 1-, 2- and 3-grams."""
+    last = np.array([32], np.uint32)
     for a in range(0, len(text), _STRETCH):
         x = np.frombuffer(text[a : a + _STRETCH].lower().encode("utf-32-le", "surrogatepass"), "<u4")
         letter = _letters()[np.minimum(x, 0x10FFFF)]
-        any_letter |= bool(letter.any())
         x = np.concatenate((last, np.where(letter, x, 32).astype(np.uint32), [] if a + _STRETCH < len(text) else [32])).astype(np.uint32)
         x = x[np.append(True, (x[1:] != 32) | (x[:-1] != 32))]
         one, two = x * np.uint32(0x9E3779B1), x[:-1] * np.uint32(0x85EBCA6B) + x[1:] * np.uint32(0xC2B2AE35)
         three = two[:-1] * np.uint32(0x27D4EB2F) + x[2:] * np.uint32(0x165667B1)
         k = len(last)  # what the stretch before has counted
-        for h in (one[k:], two[k - 1 :], three[max(k - 2, 0) :]):
-            total += np.bincount(h >> np.uint32(32 - bits), minlength=1 << bits)
+        yield bool(letter.any()), (one[k:], two[k - 1 :], three[max(k - 2, 0) :])
         last = x[-2:]
+
+
+def ngram_counts(text: str | None, bits: int = HASH_BITS) -> np.ndarray | None:
+    """Counts of hashed 1- to 3-grams of the lower-cased text, runs of other characters being one blank; None without a letter."""
+    if not text:
+        return None
+    total, any_letter = np.zeros(1 << bits, np.int64), False
+    for letters, hashes in _stretches(text):
+        any_letter |= letters
+        for h in hashes:
+            total += np.bincount(h >> np.uint32(32 - bits), minlength=1 << bits)
     return total if any_letter else None
 
 
+def trigrams(text: str) -> np.ndarray:
+    """The hashed 3-grams of the text, one after the other."""
+    return np.concatenate([hashes[2] for _, hashes in _stretches(text)] or [np.empty(0, np.uint32)]) >> np.uint32(32 - KNOWN_BITS)
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -61,6 +75,7 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
+    known: np.ndarray | None = None
 
     def vector(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(counts)
@@ -80,6 +95,15 @@ class Model:
         k = int(p.argmax())
         return self.langs[k], float(p[k] / p.sum())
 
+    def unknown(self, text: str) -> float:
+        """The share of the text's trigrams that are in no language's usual ones."""
+        own = trigrams(text)
+        return 1 - float(self.known[own].mean()) if len(own) else 0.0
+
+    def keeps(self, text: str | None, least: float, most_unknown: float) -> bool:
+        lang, score = self.predict(text)
+        return lang != UNDETERMINED and score >= least and self.unknown(text) <= most_unknown
+
 
 def train(counts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs: int = 3, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, seed: int = 0) -> Model:
     """FTRL-proximal with L1 and L2 on nine tenths of the rows (indices and counts); the rest fits the temperature."""
@@ -132,12 +156,13 @@ def train(counts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs
     return model
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows_per_lang: int = ROWS_PER_LANG) -> Model:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows_per_lang: int = ROWS_PER_LANG, usual: bool = False) -> Model:
     """Fits on a sample of ``labelled``: about ``rows_per_lang`` distinct texts of each language, taken by a hash of the text.
 
     A text counts once for a language, however many rows repeat it. Every language is learned; one with fewer
     texts gives all of them. Rows with null language, or whose text has no letter, are not learned from.
-    Executors count the n-grams; the driver gets at most 2 ** HASH_BITS numbers for each sampled text.
+    Executors count the n-grams; the driver gets at most 2 ** HASH_BITS numbers for each sampled text. With
+    ``usual`` the model knows each language's usual trigrams too, of which the driver gets the places.
     """
     known = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(text).alias("h"))
     sizes = known.groupBy("lang").agg((F.lit(float(rows_per_lang)) / F.approx_count_distinct("h", 0.02)).alias("share"))
@@ -147,20 +172,27 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows_per_la
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 64):
-                out: list[list] = [[], [], []]
+                out: list[list] = [[], [], [], []]
                 for x, own in zip(batch.column(0).slice(a, 64).to_pylist(), batch.column(1).slice(a, 64).to_pylist()):
                     if (c := ngram_counts(x)) is not None:
                         at = np.flatnonzero(c)
-                        for column, v in zip(out, (own, at.astype("<u4").tobytes(), c[at].astype("<u4").tobytes())):
+                        for column, v in zip(out, (own, at.astype("<u4").tobytes(), c[at].astype("<u4").tobytes(), np.unique(trigrams(x)).astype("<u4").tobytes() if usual else b"")):
                             column.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["lang", "at", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], names=["lang", "at", "n", "three"])
 
-    rows = sample.mapInArrow(grams, "lang string, at binary, n binary").toArrow()
+    rows = sample.mapInArrow(grams, "lang string, at binary, n binary, three binary").toArrow()
     if not rows.num_rows:
         return Model([], np.zeros(0), np.zeros((0, 0)), np.zeros(0))
     counts = [(np.frombuffer(a, "<u4").astype(np.int32), np.frombuffer(n, "<u4")) for a, n in zip(rows.column("at").to_pylist(), rows.column("n").to_pylist())]
     order = sorted(range(len(counts)), key=lambda i: (rows.column("lang")[i].as_py(), counts[i][0].tobytes(), counts[i][1].tobytes()))
-    return train([counts[i] for i in order], [rows.column("lang")[i].as_py() for i in order])
+    model = train([counts[i] for i in order], [rows.column("lang")[i].as_py() for i in order])
+    if usual:
+        model.known, of = np.zeros(1 << KNOWN_BITS, bool), {}
+        for x, three in zip(rows.column("lang").to_pylist(), rows.column("three").to_pylist()):
+            of.setdefault(x, []).append(np.frombuffer(three, "<u4"))
+        for own in of.values():
+            model.known |= np.bincount(np.concatenate(own), minlength=1 << KNOWN_BITS) >= max(1, KNOWN_SHARE * len(own))
+    return model
 
 
 def predicted(model: Model, docs: DataFrame, text: str = "text") -> Column:
@@ -187,8 +219,19 @@ def identify(docs: DataFrame, labelled: DataFrame, text: str = "text", lang: str
     return docs.select(*names, predicted(model, docs, text).alias("_found")).select(*names, "_found.lang_pred", "_found.score")
 
 
-def keep_identified(docs: DataFrame, labelled: DataFrame, least: float = 0.5, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose language is found with a score of ``least`` or more."""
-    model = fit(labelled, text, lang)
-    found = predicted(model, docs, text)
-    return docs.withColumn("_found", found).where((F.col("_found.lang_pred") != UNDETERMINED) & (F.col("_found.score") >= least)).drop("_found")
+def keep_identified(docs: DataFrame, labelled: DataFrame, least: float = 0.5, text: str = "text", lang: str = "lang", most_unknown: float = MOST_UNKNOWN) -> DataFrame:
+    """The rows of ``docs`` whose language is found with a score of ``least`` or more, and whose text is of a learned language.
+
+    It is where at most ``most_unknown`` of its trigrams are in less than KNOWN_SHARE of the sampled texts of
+    each language. Unlike the score, that share does not depend on the number of languages. In a language of
+    fewer than 1 / KNOWN_SHARE texts each is taken as usual.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(fit(labelled, text, lang, usual=True))
+
+    @F.arrow_udf("boolean")
+    def kept(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoders.forget()
+        for batch in batches:
+            yield pa.array([shared.value.keeps(x, least, most_unknown) for x in batch.to_pylist()], pa.bool_())
+
+    return docs.where(kept(F.col(text)))

@@ -273,6 +273,17 @@ def test_language_id_samples_distinct_texts_of_every_language(spark, monkeypatch
     assert 15 <= labels.count("a") <= 80 and labels.count("b") == 20 and labels.count("c") == 1
 
 
+def test_language_stage_removes_gibberish(spark):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10)))
+    docs = spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet").select("doc_id", "text", "lang")
+    odd_ones = [(-1 - i, " ".join(word() for _ in range(60)), "en") for i in range(20)] + [(-50, "это текст на другом языке", "de")]
+    got = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(spark.createDataFrame(odd_ones, docs.schema)), SF).collect()}
+    assert got == {i for i, t in texts(docs).items() if any(c.isalpha() for c in t or "")}
+
+
 def test_toxicity(spark):
     rows = {r.doc_id: r for r in entry.op4_toxicity(spark, SF.replace("0.001", "0.1")).collect()}
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(SF.replace("0.001", "0.1") + "/labels.parquet").collect()}
