@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rivulet.storage import shared_dir, written  # noqa: F401 (used from here by the operators)
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -16,24 +15,27 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
+#: Plan nodes that pass rows of their input on as they are, or drop some.
+_PLAIN = ("Project", "Filter", "SubqueryAlias", "View")
+
+
+def stable(docs: DataFrame) -> DataFrame:
+    """``docs`` itself where each of its rows is one row of a file, the same at every run; else written as it is and read again.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Rows of a join, an explode or a limit may stand for one row of a file several times, or change from run to run.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="rivulet-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/rivulet-{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str, order: str | None = None) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in _PLAIN and plan.deterministic():
+        plan = plan.children().head()
+    straight = plan.nodeName() == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation"
+    return docs if straight else written(docs, "rows")
+
+
+def with_locator(docs: DataFrame, *columns: Column | str) -> DataFrame:
+    """``columns`` of ``docs`` (else all, as one struct ``row``) with _file and _row, which tell its rows apart whatever they hold."""
+    docs = stable(docs)
+    place = docs.metadataColumn("_metadata")  # also where a column of the table has that name
+    return docs.select(*(columns or [F.struct("*").alias("row")]), place["file_path"].alias("_file"), place["row_index"].alias("_row"))
 
 
 def ascii_lower(text: Column) -> Column:

@@ -16,15 +16,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import written
-from rivulet.llm.exact_dedup import with_locator
+from rivulet.llm.common import stable, with_locator, written
 
-#: Differing bits allowed between fingerprints. At a similarity of 0.8 the mean is 10 and two of a hundred pairs differ in more.
-RADIUS = 15
+#: Differing bits allowed between fingerprints. At a similarity of 0.8 the mean is 9 and at most two of a thousand pairs differ in more.
+RADIUS = 19
 #: Weights are counted in parts of so many for the fingerprint.
 PARTS = 16
-#: Item shingles up to this number are broadcast; more are joined by a shuffle.
-BROADCAST_SHINGLES = 1_000_000
+#: Tables made of the items (shingles, their places, blocks) of up to so many rows are broadcast, each by its own count; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -64,60 +63,83 @@ def _blocks(fp: Column, radius: int) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for i, (a, b) in enumerate(zip(ends, ends[1:]))])
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text", item_id: str = "item_id", item_text: str = "text", shingle: int = 5, threshold: float = 0.8, radius: int = RADIUS) -> DataFrame:
-    """``keys``, item_id, start, n_words, similarity: for each row of ``docs`` and each item that it holds, the most similar window.
+def _leaks(rows: DataFrame, row: Sequence[str], keys: Sequence[str], items: DataFrame, shingle: int, threshold: float, radius: int) -> DataFrame:
+    """``keys`` and ``row``, item_id, start, n_words, similarity of all windows that hold an item.
 
-    similarity is the weighted Jaccard similarity of the shingles of window and item, a shingle weighing
-    its number divided by the number of items that have it; only ``threshold`` and more is reported. start
-    counts words. Items of fewer than ``shingle`` words are one shingle. Null or wordless texts and items
-    hold and match nothing. Rows equal in ``keys`` are reported as one: all items that any of them holds.
+    ``rows``: ``row`` (columns that tell rows apart), ``keys``, text. ``items``: item (unique), item_id, own (words), size.
     """
-    keys = list(keys)
-    items = benchmark.select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("own")).withColumn("size", F.size("own")).where("size > 0").distinct()
+    ids = [*row, *[k for k in keys if k not in row]]
     sizes = sorted(r[0] for r in items.select(F.least("size", F.lit(shingle))).distinct().collect()) or [shingle]
-    placed = items.select("item_id", "size", "own", F.explode(F.coalesce(*[F.when(F.least("size", F.lit(shingle)) == k, _shingles(F.col("own"), k)) for k in sizes])).alias("s")).select("item_id", "size", F.col("s.at").alias("j"), F.col("s.h").alias("h"))
-    weights = placed.groupBy("h").agg((1.0 / F.count_distinct("item_id")).alias("weight"))
-    item_rows = written(placed.groupBy("item_id", "size", "h").agg(F.count(F.lit(1)).alias("n")).join(weights, "h"), "items")
+    placed = items.select("item", "size", "own", F.explode(F.coalesce(*[F.when(F.least("size", F.lit(shingle)) == k, _shingles(F.col("own"), k)) for k in sizes])).alias("s")).select("item", "size", F.col("s.at").alias("j"), F.col("s.h").alias("h"))
+    weights = placed.groupBy("h").agg((1.0 / F.count_distinct("item")).alias("weight"))
+    item_rows = written(placed.groupBy("item", "size", "h").agg(F.count(F.lit(1)).alias("n")).join(weights, "h"), "items")
     anchors = written(placed.select("h", "size", "j").distinct(), "anchors")
-    small = anchors.count() <= BROADCAST_SHINGLES
-    held = F.broadcast if small else (lambda df: df)
+    n_items, n_rows, n_anchors = items.count(), item_rows.count(), anchors.count()
+    held = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
 
     # windows where a shingle of an item of that size stands
+    small = n_anchors <= BROADCAST_ROWS
+    base = rows.select(*ids, words(F.col("text")).alias("own"))
     found = None
-    base = docs.select(*keys, words(F.col(text)).alias("own"))
     for k in sizes:
         own = anchors.where(F.least("size", F.lit(shingle)) == k)
-        at = base.select(*keys, "own", F.explode(_shingles(F.col("own"), k)).alias("s")).select(*keys, "own", F.col("s.at").alias("at"), F.col("s.h").alias("h")).join(held(own), "h")
+        at = base.select(*ids, *(["own"] if small else []), F.size("own").alias("length"), F.explode(_shingles(F.col("own"), k)).alias("s"))
+        at = at.select(*ids, *(["own"] if small else []), "length", F.col("s.at").alias("at"), F.col("s.h").alias("h")).join(held(own, n_anchors), "h")
         found = at if found is None else found.unionByName(at)
-    start = F.greatest(F.least(F.col("at") - F.col("j"), F.size("own") - F.col("size")), F.lit(0))
-    windows = found.select(*keys, "size", start.alias("start"), "own").select(*keys, "size", "start", F.slice("own", F.col("start") + 1, F.col("size")).alias("own")).where(F.size("own") > 0).distinct()
-    windows = windows.withColumn("of", F.xxhash64("own"))  # rows equal in keys may have different windows at one place
-    place = [*keys, "size", "start", "of"]
+    start = F.greatest(F.least(F.col("at") - F.col("j"), F.col("length") - F.col("size")), F.lit(0)).alias("start")
+    place = [*ids, "size", "start"]
+    if small:
+        windows = found.select(*ids, "size", start, "own")
+    else:  # the words, which every shingle else would carry through the shuffle, come back for the hits
+        windows = found.select(*ids, "size", start).distinct().join(base.select(*row, "own"), list(row))
+    windows = windows.select(*place, F.slice("own", F.col("start") + 1, F.col("size")).alias("own")).where(F.size("own") > 0).distinct()
     window_rows = windows.select(*place, F.explode(_any_size(F.col("own"), F.size("own"), shingle, sizes)).alias("h")).groupBy(*place, "h").agg(F.count(F.lit(1)).alias("n"))
-    window_rows = written(window_rows.join(held(weights), "h", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0))), "windows")
+    weights = item_rows.select("h", "weight").distinct()
+    window_rows = written(window_rows.join(held(weights, n_rows), "h", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0))), "windows")
 
     # candidates by blocks of the fingerprints
-    item_fps = _fingerprints(item_rows, ["item_id", "size"]).withColumnRenamed("total", "item_total")
+    item_fps = _fingerprints(item_rows, ["item", "size"]).withColumnRenamed("total", "item_total")
     window_fps = _fingerprints(window_rows, place)
-    by_block = item_fps.select("item_id", "size", "item_total", F.col("fp").alias("item_fp"), F.explode(_blocks(F.col("fp"), radius)).alias("block"))
-    pairs = window_fps.select(*place, "fp", "total", F.explode(_blocks(F.col("fp"), radius)).alias("block")).join(held(by_block), ["size", "block"])
-    pairs = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select(*place, "item_id", "total", "item_total").distinct()
+    by_block = item_fps.select("item", "size", "item_total", F.col("fp").alias("item_fp"), F.explode(_blocks(F.col("fp"), radius)).alias("block"))
+    pairs = window_fps.select(*place, "fp", "total", F.explode(_blocks(F.col("fp"), radius)).alias("block")).join(held(by_block, n_items * (radius + 1)), ["size", "block"])
+    pairs = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select(*place, "item", "total", "item_total").distinct()
 
     # exact similarity
-    same = [pairs[c].eqNullSafe(window_rows[c]) for c in keys] + [pairs[c] == window_rows[c] for c in ("size", "start", "of")]
-    each = pairs.join(window_rows, same).select(*[pairs[c] for c in place], "item_id", "total", "item_total", "h", F.col("n").alias("n_window"), "weight")
-    both = each.join(held(item_rows.select("item_id", "size", "h", F.col("n").alias("n_item"))), ["item_id", "size", "h"])
-    inter = both.groupBy(*place, "item_id", "total", "item_total").agg(F.sum(F.least("n_window", "n_item") * F.col("weight")).alias("inter"))
+    each = pairs.join(window_rows.select(*row, "size", "start", "h", F.col("n").alias("n_window"), "weight"), [*row, "size", "start"])
+    both = each.join(held(item_rows.select("item", "size", "h", F.col("n").alias("n_item")), n_rows), ["item", "size", "h"])
+    inter = both.groupBy(*place, "item", "total", "item_total").agg(F.sum(F.least("n_window", "n_item") * F.col("weight")).alias("inter"))
     scored = inter.withColumn("similarity", F.col("inter") / (F.col("total") + F.col("item_total") - F.col("inter"))).where(F.col("similarity") >= threshold - 1e-9)
-    best = scored.groupBy(*keys, "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "size")).alias("best"))
-    return best.select(*keys, "item_id", (-F.col("best.back")).alias("start"), F.col("best.size").alias("n_words"), F.least(F.col("best.similarity"), F.lit(1.0)).alias("similarity"))
+    named = scored.join(held(items.select("item", "item_id"), n_items), "item")
+    return named.select(*ids, "item_id", "start", F.col("size").alias("n_words"), F.least(F.col("similarity"), F.lit(1.0)).alias("similarity"))
+
+
+def _items(benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    own = benchmark.select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("own")).where(F.size("own") > 0).distinct()
+    return written(own.select(F.xxhash64(F.struct("item_id", "own"), F.col("item_id").isNull()).alias("item"), "item_id", "own", F.size("own").alias("size")), "benchmark")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text", item_id: str = "item_id", item_text: str = "text", shingle: int = 5, threshold: float = 0.8, radius: int = RADIUS) -> DataFrame:
+    """``keys``, item_id, start, n_words, similarity: for each row of ``docs`` and each item that it holds, the most similar window.
+
+    similarity is the weighted Jaccard similarity of the shingles of window and item, a shingle weighing
+    its number divided by the number of items that have it; only ``threshold`` and more is reported. start
+    counts words. Items of fewer than ``shingle`` words are one shingle. Null or wordless texts and items
+    hold and match nothing. Rows are told apart by their place in their file and items by id and words, so
+    ids may be null or repeat: what rows equal in ``keys``, or items of one id, hold is reported as one row,
+    the most similar window of all.
+    """
+    keys = list(keys)
+    # (the row's columns get names of their own: keys may have any)
+    rows = with_locator(docs, *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(text).alias("text")).withColumn("_file", F.xxhash64("_file"))
+    own = [f"k{i}" for i in range(len(keys))]
+    leaks = _leaks(rows, ("_file", "_row"), own, _items(benchmark, item_id, item_text), shingle, threshold, radius)
+    best = leaks.groupBy(*own, "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n_words")).alias("best"))
+    return best.select(*[F.col(a).alias(k) for a, k in zip(own, keys)], "item_id", (-F.col("best.back")).alias("start"), F.col("best.n_words").alias("n_words"), F.col("best.similarity").alias("similarity"))
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", **more) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", shingle: int = 5, threshold: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns."""
-    names = docs.columns
-    if not docs.inputFiles():
-        docs = written(docs, "rows")
-    rows = with_locator(docs)
-    leaks = find_leaks(rows.select("_file", "_row", F.col(text).alias("text")), benchmark, ("_file", "_row"), **more).select("_file", "_row").distinct()
-    return rows.join(leaks, ["_file", "_row"], "left_anti").select(*names)
+    docs = stable(docs)
+    rows = with_locator(docs, F.col(text).alias("text"))
+    leaks = _leaks(rows, ("_file", "_row"), (), _items(benchmark, item_id, item_text), shingle, threshold, radius).select("_file", "_row").distinct()
+    return with_locator(docs).join(leaks, ["_file", "_row"], "left_anti").select("row.*")

@@ -11,11 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import ascii_lower, shared_dir, written
+from rivulet.llm.common import ascii_lower, shared_dir, stable, with_locator, written
 
 #: Groups with more rows than 1 / HOT of all, and than LEAST_HOT, are joined by broadcast.
 HOT, LEAST_HOT = 5000, 1000
@@ -27,15 +26,6 @@ def sha256(norm: Column) -> Column:
     return F.coalesce(F.unhex(F.sha2(norm.cast("binary"), 256)), F.lit(b""))
 
 
-def with_locator(docs: DataFrame) -> DataFrame:
-    """``docs`` with _file and _row, the place of each row's content. Rows that no file holds are written first."""
-    try:
-        return docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    except AnalysisException:
-        kept = written(docs, "rows")
-        return kept.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-
-
 def _sieved(rows: DataFrame, hits: DataFrame) -> DataFrame:
     """The rows whose digest begins with the same 24 bits as one of ``hits``: most others need no shuffle then.
 
@@ -92,8 +82,7 @@ def exact_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", d
     may be any function of the normalised text: rows of one digest whose bytes differ are found by the
     full comparison and are then grouped by the text itself.
     """
-    rows = with_locator(docs)
-    rows = rows.select(F.col(doc_id).alias("id"), ascii_lower(F.col(text)).alias("norm"), "_file", "_row")
+    rows = with_locator(docs, F.col(doc_id).alias("id"), ascii_lower(F.col(text)).alias("norm"))
     folder = shared_dir(docs.sparkSession, "records")
     rows.select("id", "_file", "_row", digest(F.col("norm")).alias("digest")).write.parquet(folder)
     records = docs.sparkSession.read.parquet(folder)
@@ -124,9 +113,6 @@ def exact_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", d
 
 def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all its columns, one for each distinct text (see ``exact_classes``)."""
-    names = docs.columns
-    if not docs.inputFiles():
-        docs = written(docs, "rows")
-    rows = with_locator(docs)
+    docs = stable(docs)
     kept = exact_classes(docs, doc_id, text).where("is_kept").select("_file", "_row")
-    return rows.join(kept, ["_file", "_row"], "left_semi").select(*names)
+    return with_locator(docs).join(kept, ["_file", "_row"], "left_semi").select("row.*")

@@ -21,8 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.llm import encoders
-from rivulet.llm.common import written
-from rivulet.llm.exact_dedup import with_locator
+from rivulet.llm.common import stable, with_locator, written
 from rivulet.llm.shingles import mix, shingle_set
 
 #: BANDS of ROWS registers: a pair at 0.8 shares no band with probability (1 - 0.8 ** 5) ** 32 < 4e-6.
@@ -94,7 +93,7 @@ def sketched(docs: DataFrame, size: int, doc_id: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays([pa.array(range(key, key + len(rows)), pa.int64()), part.column(1), part.column(2), part.column(3), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(regs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["key", "doc_id", "_file", "_row", "n_shingles", "digest", "regs", "bands"])
                 key += len(rows)
 
-    rows = docs.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id"), "_file", "_row")
+    rows = with_locator(docs, F.col(text).alias("text"), F.col(doc_id).alias("doc_id"))
     return written(rows.mapInArrow(sketch, f"key long, doc_id {kind}, _file string, _row long, n_shingles long, digest binary, regs binary, bands array<long>"), "sketches")
 
 
@@ -119,7 +118,7 @@ def _sets(docs: DataFrame, places: DataFrame, size: int, text: str) -> DataFrame
                 part = batch.slice(a, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(x, size).tobytes() for x in part.column(1).to_pylist()], pa.binary())], names=["node", "shingles"])
 
-    rows = docs.select("_file", "_row", F.col(text).alias("text")).join(places, ["_file", "_row"])
+    rows = with_locator(docs, F.col(text).alias("text")).join(places, ["_file", "_row"])
     return written(rows.select("node", "text").mapInArrow(sets, "node long, shingles binary"), "sets")
 
 
@@ -269,7 +268,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     the smallest id, one). A text without words, or null, has an empty set and is linked with nothing. A
     row with a null id counts as larger than all others; its component_id is null where no row has one.
     """
-    docs = with_locator(docs)
+    docs = stable(docs)
     rows = sketched(docs, shingle, doc_id, text)
     low = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     classes = written(rows.where("n_shingles > 0").groupBy("digest").agg(F.min("key").alias("node"), F.min(low).alias("low")), "classes")
@@ -299,8 +298,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with all their columns, one of each component of near-duplicates (see ``near_duplicates``)."""
-    names = docs.columns
-    if not docs.inputFiles():
-        docs = written(docs, "rows")
+    docs = stable(docs)
     kept = near_duplicates(docs, shingle, percent, doc_id, text).where("is_kept").select("_file", "_row")
-    return with_locator(docs).join(kept, ["_file", "_row"], "left_semi").select(*names)
+    return with_locator(docs).join(kept, ["_file", "_row"], "left_semi").select("row.*")

@@ -369,6 +369,45 @@ def test_leaks_of_rows_equal_in_ids(spark):
     assert got == {(7, 0): (0, 1.0), (7, 1): (0, 1.0), (None, 2): (0, 1.0), (None, 3): (0, 1.0), (8, 4): (0, 1.0), (8, 5): (0, 1.0), (9, 0): (1, 1.0), (9, 3): (1, 1.0)}
 
 
+@pytest.mark.parametrize("rows", [1_000_000, 0])
+def test_leaks_of_items_equal_in_ids(spark, monkeypatch, rows):
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", rows)
+    item = lambda i: " ".join(f"w{i}x{j}" for j in range(20))
+    bench = spark.createDataFrame([(1, item(0)), (1, item(1)), (1, item(1)), (None, item(2)), (None, item(3)), (None, None), (2, "one two")], "item_id long, text string")
+    docs = [(i, f"before {item(i)} after") for i in range(4)] + [(None, item(2)), (5, item(9)), (6, "One, two!"), (7, f"{item(0)} {item(1)} {item(2)} {item(3)}")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start, r.similarity) for r in decontam.find_leaks(docs, bench).collect()}
+    assert got == {(0, 1): (1, 1.0), (1, 1): (1, 1.0), (2, None): (1, 1.0), (3, None): (1, 1.0), (None, None): (0, 1.0), (6, 2): (0, 1.0), (7, 1): (0, 1.0), (7, None): (40, 1.0)}
+    assert [r.doc_id for r in decontam.drop_leaks(docs, bench).collect()] == [5]
+
+
+def test_leaks_at_the_threshold(spark):
+    """Windows at a similarity of 0.8 exactly: a whole run of each item's last words is changed."""
+    rng = random.Random(11)
+    items = {i: [f"i{i}w{j}" for j in range(22)] for i in range(400)}  # 18 shingles
+    docs = {i: [*(f"a{rng.randrange(99)}" for _ in range(3)), *w[:-2], "x", "y", "z"] for i, w in items.items()}  # 16 of 20
+    d, b = (spark.createDataFrame([(i, " ".join(w)) for i, w in x.items()], f"{n} long, text string") for x, n in ((docs, "doc_id"), (items, "item_id")))
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.find_leaks(d, b).collect()}
+    assert all(a == i and abs(s - 0.8) < 1e-9 for (a, i), s in got.items()) and len(got) >= 0.99 * len(items)
+
+
+def test_rows_of_a_join_are_told_apart(spark):
+    """Derived tables, in which one row of a file stands several times, and columns of the operators' own names."""
+    item = " ".join(f"x{j}" for j in range(12))
+    base = spark.read.parquet(f"{SF}/documents.parquet").limit(40).withColumns({"_file": F.lit("f"), "_row": F.lit(1), "_metadata": F.lit(2), "row": F.lit(3), "key": F.lit(4)})
+    twice = base.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2))))
+    own = base.select("text").distinct().count()
+    kept = exact_dedup.drop_exact_duplicates(twice)
+    assert kept.columns == twice.columns and kept.count() == kept.select("text").distinct().count() <= own
+    assert exact_dedup.exact_classes(twice).where("is_kept").count() == kept.count()
+    near = near_dedup.drop_near_duplicates(twice)
+    assert near.columns == twice.columns and near.count() == near.select("text").distinct().count() <= own
+    clean = decontam.drop_leaks(twice, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert clean.columns == twice.columns and clean.count() == 80
+    leaky = twice.withColumn("text", F.when(F.col("n") == 1, item).otherwise(F.col("text")))
+    assert decontam.drop_leaks(leaky, spark.createDataFrame([(1, item)], "item_id long, text string")).count() == 40
+
+
 # url rules
 URLS = ["http://a.example.com/en/71?x=1", "https://EXAMPLE.com/en/8", "http://com/en/", "http://xcom/en/1", "http://b.net/de/80#f", "http://example.net/de/8", "http://example.net/de", "http://w.org/es/1", "no url", "", None, "://x.com/en/1", "http://example.com?/en/7", "http://net:80/de/1"]
 
