@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +54,24 @@ def id_bucket(doc_id: Column, parts: int) -> Column:
 def words_of(text: str | None) -> list[bytes]:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text whose A-Z are lower-cased, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+#: Bytes of a text that are split into words together.
+_STEP = 1 << 20
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def pieces(raw: bytes) -> Iterator[bytes]:
+    """Parts of about a megabyte that end at a blank."""
+    a = 0
+    while a < len(raw):
+        m = _BLANK.search(raw, a + _STEP) if len(raw) - a > _STEP else None
+        b = m.end() if m else len(raw)
+        yield raw[a:b]
+        a = b
+
+
+def word_lists(text: str | None) -> Iterator[list[bytes]]:
+    """``words_of`` a text of any length, a part at a time."""
+    for piece in pieces(text.encode("utf-8", "surrogatepass").lower()) if text else ():
+        yield piece.split()

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
 import numpy as np
 
-_STEP = 1 << 20
+from rivulet.llm.common import pieces
+
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,20 +29,10 @@ def _grown(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def _pieces(raw: bytes) -> Iterator[bytes]:
-    """Parts of about a megabyte that end at a blank."""
-    a = 0
-    while a < len(raw):
-        m = _BLANK.search(raw, a + _STEP) if len(raw) - a > _STEP else None
-        b = m.end() if m else len(raw)
-        yield raw[a:b]
-        a = b
-
-
 def word_hashes(text: str | None) -> np.ndarray:
     """A 64-bit hash of each word ``[^\\x20\\x09-\\x0D]+`` of the text whose A-Z are lower-cased."""
     out = []
-    for piece in _pieces(text.encode("utf-8", "surrogatepass").lower()) if text else ():
+    for piece in pieces(text.encode("utf-8", "surrogatepass").lower()) if text else ():
         b = np.frombuffer(piece, np.uint8)
         blank = np.ones(len(b) + 2, np.int8)
         blank[1:-1] = (b == 32) | ((b >= 9) & (b <= 13))
