@@ -13,16 +13,15 @@ _ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 
 
 class EliasFano:
-    """n values up to ``top`` in about n * (2 + log2(top / n)) bits.
+    """n values up to ``top`` in about n * (2 + log2(top / n)) bits, and a quarter of a bit for select.
 
     The low bits of each value are packed side by side; its high part h is a set bit at place h + i of
-    a bit vector. ``select`` finds the i-th set bit from a sampled place on.
+    a bit vector. The place of every SAMPLED-th set bit is stored, in as few bytes as the vector's length
+    needs. ``select`` finds the i-th set bit from a sampled place on; ``stretch`` reads all between two samples.
     """
 
-    def __init__(self, n: int, top: int, low: int, lower: np.ndarray, upper: np.ndarray):
-        self.n, self.top, self.low, self.lower, self.upper = n, top, low, lower, upper
-        ones = np.flatnonzero(np.unpackbits(upper, bitorder="little")) if n else np.empty(0, np.int64)
-        self.samples = ones[::SAMPLED].copy()
+    def __init__(self, n: int, top: int, low: int, lower: np.ndarray, upper: np.ndarray, samples: np.ndarray):
+        self.n, self.top, self.low, self.lower, self.upper, self.samples = n, top, low, lower, upper, samples
 
     @classmethod
     def encode(cls, values) -> EliasFano:
@@ -32,20 +31,36 @@ class EliasFano:
         n, top = len(v), int(v[-1]) if len(v) else 0
         low = max(0, (top // n).bit_length() - 1) if n else 0
         bits = ((v[:, None] >> np.arange(low)) & 1).astype(np.uint8).ravel()
-        upper = np.zeros(n + (top >> low) + 1 if n else 0, np.uint8)
-        upper[(v >> low) + np.arange(n)] = 1
-        return cls(n, top, low, np.packbits(bits, bitorder="little"), np.packbits(upper, bitorder="little"))
+        length, _, kind = cls._sizes(n, top, low)
+        upper, places = np.zeros(length, np.uint8), (v >> low) + np.arange(n)
+        upper[places] = 1
+        return cls(n, top, low, np.packbits(bits, bitorder="little"), np.packbits(upper, bitorder="little"), places[::SAMPLED].astype(kind))
+
+    @staticmethod
+    def _sizes(n: int, top: int, low: int) -> tuple[int, int, str]:
+        """Bits of the upper vector, number of samples, and the type of one."""
+        length = n + (top >> low) + 1 if n else 0
+        return length, -(-n // SAMPLED), "<u2" if length <= 1 << 16 else "<u4" if length <= 1 << 32 else "<u8"
 
     def to_bytes(self) -> bytes:
-        return _HEAD.pack(self.n, self.top, self.low) + self.lower.tobytes() + self.upper.tobytes()
+        return _HEAD.pack(self.n, self.top, self.low) + self.samples.tobytes() + self.lower.tobytes() + self.upper.tobytes()
 
     @classmethod
     def from_bytes(cls, raw: bytes, at: int = 0) -> tuple[EliasFano, int]:
-        """The sequence stored at ``at``, and the place after it."""
+        """The sequence stored at ``at``, and the place after it. Nothing is unpacked: its parts are views of ``raw``."""
         n, top, low = _HEAD.unpack_from(raw, at)
         at += _HEAD.size
-        a, b = (n * low + 7) // 8, ((n + (top >> low) + 1 if n else 0) + 7) // 8
-        return cls(n, top, low, np.frombuffer(raw, np.uint8, a, at), np.frombuffer(raw, np.uint8, b, at + a)), at + a + b
+        length, count, kind = cls._sizes(n, top, low)
+        samples = np.frombuffer(raw, kind, count, at)
+        at += samples.nbytes
+        a, b = (n * low + 7) // 8, (length + 7) // 8
+        return cls(n, top, low, np.frombuffer(raw, np.uint8, a, at), np.frombuffer(raw, np.uint8, b, at + a), samples), at + a + b
+
+    def _lows(self, a: int, b: int) -> np.ndarray:
+        """The low bits of the values from the a-th to before the b-th."""
+        first = a * self.low
+        bits = np.unpackbits(self.lower[first >> 3 : (b * self.low + 7) >> 3], bitorder="little")[first & 7 :][: (b - a) * self.low]
+        return (bits.reshape(b - a, self.low).astype(np.int64) << np.arange(self.low)).sum(axis=1)
 
     def select(self, i: int) -> int:
         """The i-th value."""
@@ -57,15 +72,15 @@ class EliasFano:
         while left >= (ones := int(_ONES[self.upper[byte]])):
             left, byte = left - ones, byte + 1
         bits = np.flatnonzero(np.unpackbits(self.upper[byte : byte + 1], bitorder="little"))
-        high = byte * 8 + int(bits[left]) - i
-        first = i * self.low
-        lows = np.unpackbits(self.lower[first >> 3 : (first + self.low + 7) >> 3], bitorder="little")[first & 7 :][: self.low]
-        return high << self.low | sum(int(b) << k for k, b in enumerate(lows))
+        return (byte * 8 + int(bits[left]) - i) << self.low | int(self._lows(i, i + 1)[0])
 
-    def decode(self) -> np.ndarray:
-        """All values."""
-        if not self.n:
-            return np.empty(0, np.int64)
-        ones = np.flatnonzero(np.unpackbits(self.upper, bitorder="little"))[: self.n]
-        lows = np.unpackbits(self.lower, bitorder="little")[: self.n * self.low].reshape(self.n, self.low).astype(np.int64)
-        return (ones - np.arange(self.n)) << self.low | (lows << np.arange(self.low)).sum(axis=1)
+    def stretch(self, k: int) -> np.ndarray:
+        """The values of the k-th sample and those up to the next one: SAMPLED of them, or what is left."""
+        a, b = k * SAMPLED, min(self.n, (k + 1) * SAMPLED)
+        if not 0 <= a < self.n:
+            raise IndexError(k)
+        place = int(self.samples[k])
+        end = int(self.samples[k + 1]) if k + 1 < len(self.samples) else 8 * len(self.upper)
+        bits = np.unpackbits(self.upper[place >> 3 : (end + 7) >> 3], bitorder="little")[place & 7 :]
+        ones = np.flatnonzero(bits)[: b - a]
+        return (ones + place - np.arange(a, b)) << self.low | self._lows(a, b)

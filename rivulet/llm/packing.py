@@ -26,12 +26,16 @@ ROUNDS = 4
 #: A sequence with more free places than capacity / LOOSE gives its pieces to the pool.
 LOOSE = 64
 
-_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_PIECES = "doc_id {kind}, piece int, start long, length long, ids_crc32 long"
 
 
 def lower_bound(lengths, capacity: int) -> int:
     """No packing of ``lengths`` needs fewer bins: the best over two families of dual feasible functions."""
-    counts = np.bincount(np.asarray(lengths, np.int64), minlength=capacity + 1).astype(np.int64)
+    return bound_of_counts(np.bincount(np.asarray(lengths, np.int64), minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def bound_of_counts(counts: np.ndarray, capacity: int) -> int:
+    """``lower_bound`` where counts[x] items have length x."""
     x = np.arange(capacity + 1)
     best = -(-int((counts * x).sum()) // capacity)
     # items above the middle are alone; those from a on fill what these leave
@@ -85,21 +89,23 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per piece of each whole text's ids and end id; no shuffle."""
+    """One row per piece of each whole text's ids and end id; no shuffle. The id keeps its type."""
+    kind = docs.schema[doc_id].dataType.simpleString()
     key, blob = vocabulary(docs.sparkSession, tokenizer)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = per_process(ByteBpe, key, blob)
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for i, own in zip(batch.column(0).to_pylist(), coder.batch(batch.column(1).to_pylist())):
+            out: list[list] = [[], [], [], [], []]  # the first has the row of each piece
+            for i, own in enumerate(coder.batch(batch.column(1).to_pylist())):
                 ids = np.append(own.astype("<u4"), np.array([end_id], "<u4"))
                 for k, (a, n) in enumerate(cut(len(ids), capacity)):
                     for column, x in zip(out, (i, k, a, n, zlib.crc32(ids[a : a + n].tobytes()))):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if k == 1 else pa.int64()) for k, x in enumerate(out)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            columns = [pa.array(x, pa.int32() if k == 1 else pa.int64()) for k, x in enumerate(out)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(columns[0]), *columns[1:]], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(pieces, _PIECES)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(pieces, _PIECES.format(kind=kind))
 
 
 def pack_pieces(pieces: DataFrame, capacity: int, group_pieces: int = GROUP_PIECES, rounds: int = ROUNDS) -> DataFrame:
@@ -143,10 +149,22 @@ def pack_pieces(pieces: DataFrame, capacity: int, group_pieces: int = GROUP_PIEC
     return result
 
 
+def certificate(packed: DataFrame, capacity: int) -> tuple[int, int]:
+    """(sequences used, least number that any packing of all these pieces needs). Equal numbers prove the packing best.
+
+    The bound is that of all pieces together, from a table of how many there are of each length.
+    """
+    lengths = dict(map(tuple, packed.groupBy("length").count().collect()))
+    counts = np.zeros(capacity + 1, np.int64)
+    counts[list(lengths)] = list(lengths.values())
+    used = packed.where("offset = 0").count()
+    return used, bound_of_counts(counts, capacity)
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Packs the ids of all whole texts, each followed by ``end_id``, into sequences of ``capacity`` tokens.
 
-    Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null or empty text is its end
-    id alone. Rows of one id, or of a null id, are packed each on its own. Other columns are not read.
+    Returns doc_id (of any type), piece, start, length, ids_crc32, sequence_id, offset; ``certificate`` tells
+    how near the best it is. A null or empty text is its end id alone. Rows of one id, or of a null id, are packed each on its own. Other columns are not read.
     """
     return pack_pieces(written(token_pieces(docs, tokenizer, capacity, end_id, doc_id, text), "pieces"), capacity)

@@ -150,6 +150,10 @@ def test_packing(spark):
     assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
     check_sequences(rows, 128)
     assert packing.pack_documents(empty(spark), BPE).count() == 0
+    named = packing.pack_documents(odd(spark).withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), BPE, 128, 0)
+    assert {r.doc_id for r in named.select("doc_id").distinct().collect()} == {None, *(f"d{i}" for i in range(1, 10))}
+    used, bound = packing.certificate(named, 128)
+    assert bound <= used == named.select("sequence_id").distinct().count() <= bound + 1
 
 
 def check_sequences(rows, capacity):
@@ -187,8 +191,15 @@ def test_token_files(spark):
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     path = shared_dir(spark, "t")
-    token_files.write_token_files(odd(spark), path, BPE, 2)
-    assert token_files.read_token_files(spark, path).count() == 12
+    token_files.write_token_files(odd(spark), path, BPE, 2, block_tokens=50)
+    rows = token_files.read_token_files(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [None, None, 1, 1, 2, 3, 4, 5, 6, 7, 8, 9] and [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows)])[:-1].tolist()
+    crc = lambda t: zlib.crc32(np.append(coder.ids(t), 2).astype("<u4").tobytes())
+    assert sorted((str(r.doc_id), r.ids_crc32) for r in rows) == sorted((str(r.doc_id), crc(r.text)) for r in odd(spark).collect())
+    path = shared_dir(spark, "t")
+    named = odd(spark).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    token_files.write_token_files(named, path, BPE, 2)
+    assert [r.doc_id for r in token_files.read_token_files(spark, path).orderBy("start").collect()][1:4] == [None, "d1", "d1"]
     path = shared_dir(spark, "t")
     token_files.write_token_files(empty(spark), path, BPE, 2)
     assert token_files.read_token_files(spark, path).count() == 0
@@ -298,6 +309,90 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(empty(spark), marks).count() == 0
 
 
+def brute_ratios(rows):
+    """Log-likelihood ratios of a word after another by plain counting, and the sums of each class's probabilities after a word."""
+    pairs = [{}, {}]
+    for text, c in rows:
+        own = [b" start", *words_of(text)]
+        for k in zip(own, own[1:]):
+            pairs[c][k] = pairs[c].get(k, 0) + 1
+    every = {*pairs[0], *pairs[1]}
+    words = {w for _, w in every}
+    n = [{w: sum(k[1] == w for k in pairs[c]) for w in words} for c in (0, 1)]
+    either = {w: sum(k[1] == w for k in every) for w in words}
+    left = lambda counts, total, d: [{k: max(x - d * total[c] / min(total), 0) for k, x in counts[c].items()} for c in (0, 1)]
+    total = [sum(x.values()) for x in n]
+    of = lambda w: w[:4]  # noqa: E731 (ASCII words)
+    begun = [{} for _ in (0, 1, 2)]
+    for t, x in zip(begun, (*n, either)):
+        for w, k in x.items():
+            t[of(w)] = t.get(of(w), 0) + k
+
+    def parts(counts):
+        own = left(counts, total, 2)
+        mass = [sum(own[c].values()) / total[c] for c in (0, 1)]
+        return min(mass), lambda c, k: own[c].get(k, 0) / total[c] * (min(mass) / mass[c] if mass[c] else 0)
+
+    (m1, own1), (m2, own2) = parts(begun[:2]), parts(n)
+    start = lambda c, x: own1(c, x) + (1 - m1) * (begun[2].get(x, 0) + 0.5) / (sum(either.values()) + 0.5 * (len(begun[2]) + 1))
+    single = lambda c, w: own2(c, w) + (1 - m2) * start(c, of(w)) * either[w] / begun[2][of(w)]
+    got = left(pairs, [sum(x.values()) for x in pairs], 4)
+    kept = {k for k in every if got[0].get(k, 0) > 0 or got[1].get(k, 0) > 0}
+
+    def p(c, v, w):
+        after = [sum(x for k, x in pairs[d].items() if k[0] == v) for d in (0, 1)]
+        here = [sum(x for k, x in got[d].items() if k[0] == v) for d in (0, 1)]
+        if not any(k[0] == v for k in kept):
+            return single(c, w)
+        share = min(here[d] / max(after[d], 1) for d in (0, 1))
+        both = lambda k: pairs[0].get(k, 0) + pairs[1].get(k, 0)
+        half = 0.5 * sum(both(k) for k in kept if k[0] == v) / sum(after)
+        direct = share * got[c].get((v, w), 0) / here[c] if share else 0
+        return direct + (1 - share) * ((0.5 * both((v, w)) / sum(after) if (v, w) in kept else 0) + (1 - half) * single(c, w))
+
+    def ratio(v, w):
+        if w not in words:
+            return np.log(start(1, of(w)) / start(0, of(w)))
+        return np.log(p(1, v, w) / p(0, v, w))
+
+    return ratio, lambda c, v: sum(p(c, v, w) for w in words)
+
+
+def test_kneser_ney_by_brute_force(spark):
+    rng = random.Random(5)
+    text = lambda extra: " ".join(rng.choices(["a", "b", "c", "d", "e", *extra], k=30))
+    rows = [(text(["vile", "nasty"] if c else ["x"]), c) for c in (0, 1, 1, 0, 1, 0, 0) for _ in range(3)] + [("rare words here", 1), (None, 0), (" ", 1)]
+    model = toxicity.kneser_ney(spark.createDataFrame(rows, "_text string, _toxic int"), 0.5)
+    ratio, total = brute_ratios(rows)
+    assert len(model.keys) > 5
+    for t, _ in [*rows, ("vile unknown nasty a x", 0)]:
+        own = words_of(t)
+        if own:
+            assert np.allclose(model.ratios(model.ids(t)), [ratio(v, w) for v, w in zip([b" start", *own], own)], atol=1e-9)
+    assert all(0.97 < total(c, v) < 1 for c in (0, 1) for v in (b" start", b"a", b"vile", b"rare", b"?"))
+
+
+def test_toxicity_learns(spark):
+    """Labels that repeat or clash, labelled texts that are long, null or blank, and a toxic word seen a few times only."""
+    rng = random.Random(0)
+    vocabulary = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(600):
+        own = rng.choices(vocabulary, k=60)
+        if i % 4 == 0:
+            for _ in range(3):
+                own[rng.randrange(60)] = rng.choice(["vile", "nasty", "foul"])
+        rows.append((i, " ".join(own), int(i % 4 == 0)))
+    rows += [(601, " ".join(rng.choices(vocabulary, k=60_000)), 0), (602, None, 0), (603, " ", 1)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    marks = [(i, y) for i, _, y in rows] * 2 + [(5, 1), (4, None), (None, 1), (9999, 1)]
+    model = toxicity.fit(docs, spark.createDataFrame(marks, "doc_id long, toxic int"))
+    clean = [" ".join(rng.choices(vocabulary, k=50)) for _ in range(100)]
+    assert max(map(model.score, clean)) < 0.7
+    assert min(model.score(c + " vile w1 foul") for c in clean) >= 0.7
+    assert model.score("") == model.score(None) == model.prior and 0 <= model.score("w1") <= 1
+
+
 # decontamination
 def brute_leaks(docs, items, k=5, threshold=0.8):
     words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]

@@ -8,9 +8,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rivulet.llm import encoders, lang_id, lm, near_dedup, packing, toxicity
+from rivulet.llm import encoders, lang_id, lm, near_dedup, packing
 from rivulet.llm.common import words_of
-from rivulet.llm.elias_fano import EliasFano
+from rivulet.llm.elias_fano import SAMPLED, EliasFano
 from rivulet.llm.shingles import shingle_set, word_hashes
 from rivulet.llm.token_files import TokenBlock, pack_block
 
@@ -22,10 +22,12 @@ path = encoders.default_path
 def test_elias_fano_round_trip(values):
     values.sort()
     own, end = EliasFano.from_bytes(b"xy" + (raw := EliasFano.encode(values).to_bytes()), 2)
-    assert own.decode().tolist() == values and end == len(raw) + 2
+    assert [v for k in range(-(-len(values) // SAMPLED)) for v in own.stretch(k).tolist()] == values and end == len(raw) + 2
     assert [own.select(i) for i in range(len(values))] == values
     with pytest.raises(IndexError):
         own.select(len(values))
+    with pytest.raises(IndexError):
+        own.stretch(-(-len(values) // SAMPLED))
 
 
 def test_elias_fano_is_small_and_checks_order():
@@ -35,10 +37,22 @@ def test_elias_fano_is_small_and_checks_order():
         EliasFano.encode([2, 1])
 
 
+def test_elias_fano_opens_without_unpacking():
+    """Boundaries of a million documents: opening reads no bit, select and stretch a few bytes, and the stored samples cost a quarter of a bit each."""
+    ends = np.cumsum(np.random.default_rng(1).integers(1, 900, 1_000_000))
+    raw = EliasFano.encode(ends).to_bytes()
+    assert 8 * len(raw) / len(ends) < 2 + np.log2(450) + 0.6
+    own, _ = EliasFano.from_bytes(raw)
+    parts = (own.samples, own.lower, own.upper)
+    assert all(not x.flags.owndata for x in parts) and sum(x.nbytes for x in parts) <= len(raw)
+    at = [0, 1, 127, 128, 129, 999_999, 500_000]
+    assert [own.select(i) for i in at] == ends[at].tolist() and (own.stretch(77) == ends[77 * SAMPLED : 78 * SAMPLED]).all()
+
+
 def test_token_block():
     docs = [np.array(x, np.uint16) for x in ([5, 6, 2], [2], list(range(300)))]
     block = TokenBlock(pack_block(docs))
-    assert len(block) == 3 and [block.doc(i).tolist() for i in range(3)] == [d.tolist() for d in docs] and block.bounds().tolist() == [0, 3, 4, 304]
+    assert len(block) == 3 and [block.doc(i).tolist() for i in range(3)] == [d.tolist() for d in docs] and [(a, x.tolist()) for a, x in block.docs()] == [(0, [5, 6, 2]), (3, [2]), (4, list(range(300)))]
     with pytest.raises(ValueError):
         TokenBlock(b"something else")
 
@@ -162,32 +176,6 @@ def test_language_id_stretches(monkeypatch):
     assert (lang_id.ngram_counts(text) == want).all()
 
 
-def test_toxicity_learns():
-    rng = random.Random(0)
-    vocabulary = [f"w{i}" for i in range(200)]
-    rows = []
-    for i in range(600):
-        own = rng.choices(vocabulary, k=60)
-        if i % 4 == 0:
-            for _ in range(3):
-                own[rng.randrange(60)] = rng.choice(["vile", "nasty", "foul"])
-        rows.append((" ".join(own), int(i % 4 == 0)))
-    model = toxicity.train([t for t, _ in rows], [y for _, y in rows], 0.25)
-    clean = [" ".join(rng.choices(vocabulary, k=50)) for _ in range(100)]
-    assert max(map(model.score, clean)) < 0.7
-    assert min(model.score(c + " vile foul") for c in clean) >= 0.7
-    assert model.score("") == model.score(None) == 0.25 and 0 <= model.score("w1") <= 1
-    # both classes' next-word probabilities add up to one
-    ids = np.arange(len(model.words))
-    total = np.zeros(2)
-    for w in ids:
-        p = model.rest[model.words[b"w1"]] * model.single[w]
-        key = model.words[b"w1"] * len(model.words) + w
-        k = np.searchsorted(model.keys, key)
-        total += p + (model.direct[k] if k < len(model.keys) and model.keys[k] == key else 0)
-    assert np.allclose(total, 1, atol=0.01)
-
-
 def test_no_data_in_the_repository():
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     assert not [f for _, _, names in os.walk(os.path.join(root, "rivulet")) for f in names if f.endswith((".parquet", ".model", ".json"))]
