@@ -218,7 +218,7 @@ def test_token_counts(spark):
 # scoring and classifiers
 def test_lm_scores(spark):
     docs = documents(spark)
-    rows = lm.score_texts(docs, id_bucket(F.col("doc_id"), 5) != 1, steps=40).collect()
+    rows = lm.score_texts(docs, id_bucket(F.col("doc_id"), 5) != 1).collect()
     own, counts = texts(docs), {}
     held = {i for i in own if zlib.crc32(str(i).encode()) % 5 == 1}
     for i in own:
@@ -237,21 +237,58 @@ def test_lm_scores(spark):
     assert len(rows) == len(own) and gain > 0
 
 
-def test_lm_scores_rare_words_by_the_join(spark, monkeypatch):
+def test_lm_scores_by_brute_force(spark, monkeypatch):
+    """Scores equal sums over explicitly normalised probabilities, whether counts are broadcast or joined; no word has the end's count twice."""
     docs = documents(spark).limit(60)
-    want = {r.doc_id: r for r in lm.score_texts(docs, F.col("doc_id") % 2 == 0, steps=10).collect()}
+    learn = F.col("doc_id") % 2 == 0
+    rows = docs.select("doc_id", "text", learn.alias("train"))
+    monkeypatch.setattr(lm, "LEAST", 3)
+    model, _ = lm.fit(rows)
+    counts = {}
+    for r in rows.collect():
+        for w in [*words_of(r.text), lm.END] if r.train else ():
+            counts[w] = counts.get(w, 0) + 1
+    outs, net = model.outputs, model.bilinear
+    r_, c_, s_, a_, q_, b_ = (x.astype(np.float64) for x in net.own)
+    inside = np.full(lm.SHARED, 0.5)
+    for w, n in counts.items():
+        if w not in outs.ids:
+            inside[lm.ending(w)] += n + 0.5
+
+    def log10p(before, word):
+        h = sum(r_[i] * c_[j] for j, i in enumerate(before))
+        k = int(outs.words([word])[0])
+        of = int(net.of[k])
+        first, last = net.starts[of], net.starts[of + 1]
+        x, y = s_ @ h + a_, q_[first:last] @ h + b_[first:last]
+        out = x[of] - np.log(np.exp(x).sum()) + y[k - first] - np.log(np.exp(y).sum())
+        return out / np.log(10) + (0 if word in outs.ids else np.log10((counts.get(word, 0) + 0.5) / inside[lm.ending(word)]))
+
+    def score(text):
+        words = [*words_of(text), lm.END]
+        ids = [outs.ids[lm.END]] * lm.CONTEXT + outs.words(words).tolist()
+        return sum(log10p(ids[i : i + lm.CONTEXT][::-1], w) for i, w in enumerate(words))
+
+    want = {r.doc_id: score(r.text) for r in rows.collect()}
+    got = {r.doc_id: r for r in lm.score_texts(docs, learn).collect()}
+    assert all(abs(got[i].score - want[i]) < 1e-4 * abs(want[i]) for i in want)
     monkeypatch.setattr(lm, "_TOGETHER", 7)
-    table = lm._frequent
-    monkeypatch.setattr(lm, "_frequent", lambda counts, most=2000: table(counts, 2000))
-    for r in lm.score_texts(docs, F.col("doc_id") % 2 == 0, steps=10).collect():
-        assert (r.n_known, r.n_tokens) == (want[r.doc_id].n_known, want[r.doc_id].n_tokens) and abs(r.base_score - want[r.doc_id].base_score) < 1e-6
+    monkeypatch.setattr(lm, "_WINDOWS", 50)
+    for most in (400, 1):  # one word is less than the most frequent ones: none is broadcast but those that are outputs
+        monkeypatch.setattr(lm, "BROADCAST_WORDS", most)
+        for r in lm.score_texts(docs, learn).collect():
+            x = got[r.doc_id]
+            assert (r.n_known, r.n_tokens) == (x.n_known, x.n_tokens) and abs(r.base_score - x.base_score) < 1e-6 * abs(x.base_score) and abs(r.score - x.score) < 0.05 * abs(x.score)
 
 
 def test_lm_scores_odd_rows(spark):
-    rows = lm.score_texts(odd(spark), F.lit(True), steps=5).collect()
+    rows = lm.score_texts(odd(spark), F.lit(True)).collect()
     assert len(rows) == 12 and min(r.n_tokens for r in rows) == 1
-    assert lm.score_texts(empty(spark), F.lit(True), steps=5).count() == 0
-    assert all(r.n_known == 0 and r.train_tokens == 0 for r in lm.score_texts(odd(spark), F.lit(False), steps=5).collect())
+    assert lm.score_texts(empty(spark), F.lit(True)).count() == 0
+    assert all(r.n_known == 0 and r.train_tokens == 0 for r in lm.score_texts(odd(spark), F.lit(False)).collect())
+    word = "x" * 3_000_000  # one word of three megabytes, known in one row and not in the other
+    rows = lm.score_texts(spark.createDataFrame([(1, word), (2, "y" + word)], "doc_id long, text string"), F.col("doc_id") == 1).collect()
+    assert {(r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in rows} == {(1, 2, 2, 2), (2, 2, 1, 2)}
 
 
 def test_language_id(spark):

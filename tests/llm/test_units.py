@@ -141,13 +141,30 @@ def test_bounds_and_cuts():
 
 def test_language_model_is_normalised_and_learns():
     rng = np.random.default_rng(0)
-    size = 40
-    pairs = rng.poisson(1, (size, size))
-    pairs[np.arange(size), (np.arange(size) + 1) % size] += 300  # each class is followed by the next one
-    table = lm.train(pairs, steps=150, dimensions=16)
-    assert np.allclose(np.exp(table.astype(np.float64)).sum(1), 1, atol=1e-4)
-    unigram = np.log(pairs.sum(0) / pairs.sum())
-    assert -(pairs * table).sum() < 0.6 * -(pairs * unigram).sum()
+    words = [b"w%d" % i for i in range(150)]
+    # each word is followed by the next one in nine cases of ten
+    text = [0]
+    for x, y in zip(rng.random(60_000), rng.integers(0, 150, 60_000)):
+        text.append((text[-1] + 1) % 150 if x < 0.9 else int(y))
+    outs = lm.Outputs.of({lm.END: 1} | {w: text.count(i) for i, w in enumerate(words)}, np.ones(lm.SHARED))
+    assert outs.starts[-1] == 151 + lm.SHARED == len(outs.logs) and set(np.diff(outs.starts)[:-1]) == {21}
+    model = lm.Bilinear(outs)
+    seen = [np.full_like(x, 0.1) for x in model.own]
+    parts = list(lm.windows(iter([" ".join(words[i].decode() for i in text)]), outs, 5000))
+    assert sum(len(x[1]) for x in parts) == len(text) + 1 and b"".join(x[3][-1] for x in parts[-1:]) == lm.END
+    unigram = np.mean([outs.logs[x[1]].mean() for x in parts]) - np.logaddexp.reduce(outs.logs)
+    for _ in range(4):
+        for before, after, _, _ in parts:
+            for a in range(0, len(after), 256):
+                model.step(before[a : a + 256], after[a : a + 256], rng, seen)
+    assert np.mean([model.log_probabilities(x[0], x[1]).mean() for x in parts]) > unigram / 2
+    every = np.arange(len(outs.logs))
+    for before in parts[0][0][:5]:
+        assert abs(np.exp(model.log_probabilities(np.tile(before, (len(every), 1)), every)).sum() - 1) < 1e-4
+    flat = model.flat()
+    other = lm.Bilinear(outs, seed=1)
+    other.load(flat)
+    assert (other.flat() == flat).all()
 
 
 def test_language_id_learns():
