@@ -7,6 +7,8 @@ a temperature, on a bounded sample of labelled rows. Prediction covers every who
 from __future__ import annotations
 
 import functools
+import itertools
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -156,13 +158,12 @@ def train(counts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs
     return model
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows_per_lang: int = ROWS_PER_LANG, usual: bool = False) -> Model:
-    """Fits on a sample of ``labelled``: about ``rows_per_lang`` distinct texts of each language, taken by a hash of the text.
+def sampled(labelled: DataFrame, text: str = "text", lang: str = "lang", rows_per_lang: int = ROWS_PER_LANG, usual: bool = False) -> DataFrame:
+    """lang, and places and counts of the n-grams, of a sample of ``labelled``: about ``rows_per_lang`` distinct texts of each language, taken by a hash of the text.
 
-    A text counts once for a language, however many rows repeat it. Every language is learned; one with fewer
-    texts gives all of them. Rows with null language, or whose text has no letter, are not learned from.
-    Executors count the n-grams; the driver gets at most 2 ** HASH_BITS numbers for each sampled text. With
-    ``usual`` the model knows each language's usual trigrams too, of which the driver gets the places.
+    A text counts once for a language, however many rows repeat it. Every language is there; one with fewer
+    texts gives all of them. Rows with null language, or whose text has no letter, are left out. With
+    ``usual`` the places of the trigrams come too.
     """
     known = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(text).alias("h"))
     sizes = known.groupBy("lang").agg((F.lit(float(rows_per_lang)) / F.approx_count_distinct("h", 0.02)).alias("share"))
@@ -180,18 +181,35 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows_per_la
                             column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], names=["lang", "at", "n", "three"])
 
-    rows = sample.mapInArrow(grams, "lang string, at binary, n binary, three binary").toArrow()
-    if not rows.num_rows:
-        return Model([], np.zeros(0), np.zeros((0, 0)), np.zeros(0))
-    counts = [(np.frombuffer(a, "<u4").astype(np.int32), np.frombuffer(n, "<u4")) for a, n in zip(rows.column("at").to_pylist(), rows.column("n").to_pylist())]
-    order = sorted(range(len(counts)), key=lambda i: (rows.column("lang")[i].as_py(), counts[i][0].tobytes(), counts[i][1].tobytes()))
-    model = train([counts[i] for i in order], [rows.column("lang")[i].as_py() for i in order])
+    return sample.mapInArrow(grams, "lang string, at binary, n binary, three binary")
+
+
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows_per_lang: int = ROWS_PER_LANG, usual: bool = False) -> Model:
+    """Fits on a sample of ``labelled`` (see ``sampled``). Executors count the n-grams, and one task fits the
+    model to the sample, of at most 2 ** HASH_BITS numbers for each text; the driver gets the model only. With
+    ``usual`` it knows each language's usual trigrams too.
+    """
+
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoders.forget()
+        rows: list[tuple[str, bytes, bytes, bytes]] = []
+        for batch in batches:
+            rows += zip(*(batch.column(k).to_pylist() for k in range(4)))
+        if rows:
+            yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(_learned(sorted(rows), usual))], pa.binary())})
+
+    rows = sampled(labelled, text, lang, rows_per_lang, usual).repartition(1).mapInArrow(learned, "model binary").collect()
+    return pickle.loads(rows[0][0]) if rows else Model([], np.zeros(0), np.zeros((0, 0)), np.zeros(0))
+
+
+def _learned(rows: list[tuple[str, bytes, bytes, bytes]], usual: bool) -> Model:
+    """The model of rows (lang, n-grams' places, their counts, trigrams' places)."""
+    model = train([(np.frombuffer(at, "<u4").astype(np.int32), np.frombuffer(n, "<u4")) for _, at, n, _ in rows], [x for x, *_ in rows])
     if usual:
-        model.known, of = np.zeros(1 << KNOWN_BITS, bool), {}
-        for x, three in zip(rows.column("lang").to_pylist(), rows.column("three").to_pylist()):
-            of.setdefault(x, []).append(np.frombuffer(three, "<u4"))
-        for own in of.values():
-            model.known |= np.bincount(np.concatenate(own), minlength=1 << KNOWN_BITS) >= max(1, KNOWN_SHARE * len(own))
+        model.known = np.zeros(1 << KNOWN_BITS, bool)
+        for _, own in itertools.groupby(rows, key=lambda r: r[0]):
+            threes = [np.frombuffer(r[3], "<u4") for r in own]
+            model.known |= np.bincount(np.concatenate(threes), minlength=1 << KNOWN_BITS) >= max(1, KNOWN_SHARE * len(threes))
     return model
 
 

@@ -305,18 +305,16 @@ def test_language_id(spark):
     assert kept.columns == odd(spark).columns and {r.doc_id for r in kept.collect()} >= {1, 2} and not {3, 4, 5, 9} & {r.doc_id for r in kept.collect()}
 
 
-def test_language_id_samples_distinct_texts_of_every_language(spark, monkeypatch):
-    seen = []
-    monkeypatch.setattr(lang_id, "train", lambda counts, labels: seen.append((counts, labels)))
+def test_language_id_samples_distinct_texts_of_every_language(spark):
     word = lambda i: "".join(chr(97 + int(x)) for x in str(i))
     rows = [("hot text again", "a")] * 900 + [(f"own {word(i)}", "a") for i in range(700)] + [(f"own {word(i)}", "b") for i in range(20)]
     rows += [(f"one {word(i)}", f"l{i}") for i in range(300)] + [("same text", "c")] * 500
     df = spark.createDataFrame(rows, "text string, lang string")
-    lang_id.fit(df.repartition(5), rows_per_lang=40)
-    lang_id.fit(df.orderBy(F.desc("text")), rows_per_lang=40)
-    (counts, labels), again = seen
-    kept = [(x, a.tobytes(), n.tobytes()) for x, (a, n) in zip(labels, counts)]
-    assert kept == [(x, a.tobytes(), n.tobytes()) for (a, n), x in zip(*again)] and len(set(kept)) == len(kept)
+    kept, again = (sorted((r.lang, bytes(r.at), bytes(r.n)) for r in lang_id.sampled(x, rows_per_lang=40).collect()) for x in (df.repartition(5), df.orderBy(F.desc("text"))))
+    labels = [x for x, *_ in kept]
+    assert kept == again and len(set(kept)) == len(kept)
+    model = lang_id.fit(df, rows_per_lang=5)
+    assert set(model.langs) == set(labels) and model.predict("same text")[0] == "c"
     assert set(labels) == {"a", "b", "c", *[f"l{i}" for i in range(300)]}
     assert 15 <= labels.count("a") <= 80 and labels.count("b") == 20 and labels.count("c") == 1
 
