@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -246,6 +250,24 @@ def snapshot_expire(spark, sf):
     return out.withColumn("s", F.round("s", 6))
 
 
+@query("""WITH e AS (SELECT event_id, user_id, CASE WHEN event_id % 5 = 0 THEN 9223372036854775807 ELSE 4611686018427387904 + user_id END AS x FROM events),
+s AS (SELECT event_id, user_id, sum(x::HUGEINT) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS t FROM e)
+SELECT event_id, (((t + 9223372036854775808) % 18446744073709551616) - 9223372036854775808)::BIGINT AS s FROM s""")
+def running_sum_wraps(spark, sf):
+    """Sums beyond 64 bits wrap."""
+    df = table(spark, sf, "events").withColumn("x", F.when(F.col("event_id") % 5 == 0, F.lit((1 << 63) - 1)).otherwise(F.lit(1 << 62) + F.col("user_id")))
+    return stream(df, "events", "event_id", "ts").begin_group("user_id").each("event_id, sum(x) AS s").df
+
+
+@query("""WITH e AS (SELECT event_id, event_type, event_id // 4 AS sec, CASE WHEN event_id % 4 = 3 THEN 1e300 ELSE value END AS x FROM events)
+SELECT a.event_id, count(*) AS n, max(b.x) >= 1e300 AS big, CASE WHEN max(b.x) < 1e300 THEN round(sum(b.x) + 1e-9, 6) END AS s FROM e a JOIN e b ON b.event_type = a.event_type AND b.sec BETWEEN a.sec - 2 AND a.sec AND b.event_id <= a.event_id GROUP BY a.event_id""")
+def slide_time_same_second(spark, sf):
+    """Four rows in a second, the last one huge: it must not be in the sums of those before it, not even as a rounding error."""
+    df = table(spark, sf, "events").withColumns({"at": F.timestamp_seconds(F.floor(F.col("event_id") / 4)), "x": F.when(F.col("event_id") % 4 == 3, 1e300).otherwise(F.col("value"))})
+    out = stream(df, "events", "event_id", "at").begin_group("event_type").slide(Period(2, "2sec"), "event_id, count() AS n, sum(x) AS t", "at").df
+    return out.select("event_id", "n", (F.col("t") >= 1e300).alias("big"), F.when(F.col("t") < 1e300, F.round(F.col("t") + 1e-9, 6)).alias("s"))
+
+
 # sampling and patterns
 @query("SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) WHERE (r - 1) % 3 = 0")
 def limit_first_count(spark, sf):
@@ -275,7 +297,17 @@ def limit_last_time(spark, sf):
     return events(spark, sf).begin_group("user_id").limit(False, Period(86400, "1days")).each("event_id").df
 
 
-@query()
+#: The rows one by one: of each condition the second up to which it holds, and whether both did.
+_GROUPS = """WITH RECURSIVE e AS (SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS sec, event_type = 'purchase' AS c1, event_type = 'click' AND value > 20 AS c2,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+walk AS (SELECT DISTINCT user_id, 0::BIGINT AS r, 0::BIGINT AS k1, 0::BIGINT AS k2, NULL::BIGINT AS event_id, false AS hit FROM e
+ UNION ALL SELECT user_id, r, CASE WHEN n1 > 0 AND n2 > 0 THEN 0 ELSE n1 END, CASE WHEN n1 > 0 AND n2 > 0 THEN 0 ELSE n2 END, event_id, n1 > 0 AND n2 > 0 FROM
+ (SELECT e.user_id, e.r, e.event_id, CASE WHEN c1 THEN sec + 172800 WHEN k1 < sec THEN 0 ELSE k1 END AS n1, CASE WHEN c2 THEN sec + 172800 WHEN k2 < sec THEN 0 ELSE k2 END AS n2
+  FROM walk w JOIN e ON e.user_id = w.user_id AND e.r = w.r + 1))
+SELECT event_id, user_id, 2 AS n FROM walk WHERE hit"""
+
+
+@query(_GROUPS)
 def filter_group(spark, sf):
     s = events(spark, sf).begin_group("user_id")
     return s.filter_group(Period(172800, "2days"), ["event_type = 'purchase'", "event_type = 'click' AND value > 20"], "until").each("event_id, user_id, size(until) AS n").df
@@ -346,13 +378,29 @@ def tuple_join_composite(spark, sf):
       ("orders", o, "o_orderkey", "at"), ("lineitem", lines, "l_linenumber", "at"))
 
 
-@query("SELECT n_nationkey AS a, n_nationkey AS b FROM nation WHERE n_nationkey < 5")
+@query("SELECT n_nationkey AS a, n_nationkey AS b FROM nation")
 def tuple_join_self(spark, sf):
     """A stream joined with itself under another name: each row meets itself, and is taken away."""
     n = table(spark, sf, "nation").withColumn("at", F.timestamp_seconds(F.lit(0)))
     return _joined(spark, sf, """FROM nation USING memory_spout() INTO s1; FROM s1(nation) AS other INTO s2;
       FROM (s1(nation) JOIN s2(other) ON nation.n_nationkey = other.n_nationkey TO nation.n_nationkey AS a, other.n_nationkey AS b EXPIRE 1min) AS t
-      FILTER a < 5 EMIT * USING keep(); SUBMIT TOPOLOGY j;""", ("nation", n, "n_nationkey", "at"))
+      EMIT * USING keep(); SUBMIT TOPOLOGY j;""", ("nation", n, "n_nationkey", "at"))
+
+
+@query("SELECT event_id, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) e JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) o ON o_custkey = user_id WHERE k = 1")
+def tuple_join_nested(spark, sf):
+    """A key inside a struct: all events arrive first, then the first order of each user takes its events away."""
+    e = table(spark, sf, "events").withColumns({"at": F.timestamp_seconds(F.lit(0)), "who": F.struct(F.struct(F.col("user_id").alias("id")).alias("user"))})
+    o = table(spark, sf, "orders").withColumn("at", F.timestamp_seconds(F.lit(1)))
+    return _joined(spark, sf, """FROM (orders JOIN events ON orders.o_custkey = events.who.user.id TO events.event_id, orders.o_orderkey EXPIRE 1min) AS t USING memory_spout()
+      EMIT * USING keep(); SUBMIT TOPOLOGY j;""", ("orders", o, "o_orderkey", "at"), ("events", e, "event_id", "at"))
+
+
+@query("SELECT event_id, max(event_id) OVER (PARTITION BY user_id, event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS other FROM events")
+def tuple_join_grouped(spark, sf):
+    """Streams of one group are joined inside it: each row meets itself only, though others of its group have the key's value too."""
+    return _joined(spark, sf, """FROM events USING memory_spout() INTO s1; FROM s1 BEGIN GROUP BY user_id, event_id INTO a; FROM s1(events) AS other BEGIN GROUP BY user_id, event_id INTO b;
+      FROM (a(events) JOIN b(other) ON events.event_type = other.event_type TO events.event_id, other.event_id AS other EXPIRE 1min) AS t EMIT * USING keep(); SUBMIT TOPOLOGY j;""", _EVENTS(spark, sf))
 
 
 @query("""SELECT event_id AS id, value AS x FROM events UNION ALL SELECT o_orderkey, o_totalprice FROM orders""")
@@ -371,9 +419,9 @@ def merge_running(spark, sf):
     return out.agg(F.max("c").alias("n"))
 
 
-@query("SELECT event_id, user_id FROM events WHERE user_id = 7")
+@query("SELECT event_id, user_id FROM events WHERE event_type = 'click'")
 def rename(spark, sf):
-    return _joined(spark, sf, "FROM events AS e USING memory_spout() FILTER e.user_id = 7 INTO s; FROM s(e) AS f EACH f.event_id, f.user_id EMIT * USING keep(); SUBMIT TOPOLOGY r;", ("events", table(spark, sf, "events"), "event_id", "ts"))
+    return _joined(spark, sf, "FROM events AS e USING memory_spout() FILTER e.event_type = 'click' INTO s; FROM s(e) AS f EACH f.event_id, f.user_id EMIT * USING keep(); SUBMIT TOPOLOGY r;", ("events", table(spark, sf, "events"), "event_id", "ts"))
 
 
 @query("SELECT event_type, count(*) AS n FROM events WHERE event_type = 'purchase' AND value > 10 GROUP BY ALL")
@@ -402,9 +450,98 @@ def named_stream_fanout(spark, sf):
 
 
 # sinks
+_EVENTS = lambda spark, sf: ("events", table(spark, sf, "events"), "event_id", "ts")
+
+
+def _stored(spark: SparkSession, text: str, *tables: tuple[str, DataFrame, str, str]) -> Session:
+    """A session with a warehouse, after ``text``."""
+    s = Session(spark, warehouse=shared_dir(spark, "warehouse"))
+    for t in tables:
+        s.register(*t)
+    s.run(text)
+    return s
+
+
 @query("SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def emit_upsert(spark, sf):
-    return writers.latest(events(spark, sf).project(["user_id", "event_id", "event_type"]), ["user_id"], "event_id")
+    """The store keeps the row that arrived last of each key, whatever exchange its rows have been through; a second topology writes to the same collection."""
+    s = _stored(spark, """FROM events USING memory_spout() FILTER event_type <> 'click' PARTITION BY event_type EMIT user_id, event_id, event_type USING mongo_persist('db', 'last', ['user_id']); SUBMIT TOPOLOGY one;""", _EVENTS(spark, sf))
+    e = table(spark, sf, "events")
+    newest = e.groupBy("user_id").agg(F.max("event_id").alias("newest")).join(e.where("event_type = 'click'"), "user_id").where("event_id = newest").drop("newest")
+    s.register("clicks", newest, "event_id", "ts")
+    s.run("FROM clicks USING memory_spout() EMIT user_id, event_id, event_type USING mongo_persist('db', 'last', ['user_id']); SUBMIT TOPOLOGY two;")
+    return s.collection(("db", "last"))
+
+
+@query("""SELECT user_id, max(event_id) FILTER (event_type = 'click') AS clicked, max(event_id) FILTER (event_type = 'purchase') AS bought FROM events WHERE event_type IN ('click', 'purchase') GROUP BY user_id""")
+def emit_upsert_fields(spark, sf):
+    """Two topologies set different fields of one collection; what one does not send keeps its value."""
+    s = _stored(spark, """FROM events USING memory_spout() FILTER event_type = 'click' EACH user_id, event_id AS clicked EMIT * USING mongo_persist('db', 'seen', 'user_id'); SUBMIT TOPOLOGY a;
+      FROM events USING memory_spout() FILTER event_type = 'purchase' EACH user_id, event_id AS bought EMIT * USING mongo_persist('db', 'seen', 'user_id'); SUBMIT TOPOLOGY b;""", _EVENTS(spark, sf))
+    return s.collection(("db", "seen"))
+
+
+@query("SELECT event_id, user_id FROM events WHERE value > 20")
+def emit_append(spark, sf):
+    """Without keys, rows are added."""
+    s = _stored(spark, """FROM events USING memory_spout() FILTER value > 50 EMIT event_id, user_id USING mongo_persist('db', '${topology_name}'); SUBMIT TOPOLOGY big;
+      FROM events USING memory_spout() FILTER value > 20 AND NOT value > 50 EMIT event_id, user_id USING mongo_persist('db', 'big'); SUBMIT TOPOLOGY small;""", _EVENTS(spark, sf))
+    return s.collection(("db", "big"))
+
+
+@query("SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY user_id")
+def emit_to(spark, sf):
+    """Rows become records of another declared tuple, which a second topology reads."""
+    s = _stored(spark, """CREATE TUPLE clicks (event_id BIGINT, user_id BIGINT);
+      FROM events USING memory_spout() FILTER event_type = 'click' EMIT event_id, user_id TO clicks; SUBMIT TOPOLOGY first;""", _EVENTS(spark, sf))
+    out: list[DataFrame] = []
+    s.sinks["keep"] = lambda: out.append
+    s.run("FROM clicks USING kafka_spout() BEGIN GROUP BY user_id SNAPSHOT EVERY 36500days user_id, count() AS n EMIT * USING keep(); SUBMIT TOPOLOGY second;")
+    return out[0]
+
+
+@query("""SELECT o_orderkey, c_name AS name FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING'""")
+def join_jdbc(spark, sf):
+    """Rows are written to a database (Derby, in this process) by jdbc_persist and looked up from it by jdbc_fetch."""
+    url = f"jdbc:derby:memory:r{uuid.uuid4().hex};create=true"
+    spark._jvm.java.sql.DriverManager.getConnection(url).createStatement().execute("CREATE TABLE people (id BIGINT, name VARCHAR(64), segment VARCHAR(16))")
+    keep: list[DataFrame] = []
+    s = Session(spark)
+    s.register("customer", table(spark, sf, "customer"), "c_custkey", None)
+    s.register("orders", table(spark, sf, "orders"), "o_orderkey", "o_orderdate")
+    s.sinks["keep"] = lambda: keep.append
+    s.run(f"""FROM customer USING memory_spout() EMIT c_custkey, c_name, c_mktsegment
+        USING jdbc_persist('{url}', '', '', 'INSERT INTO people (id, name, segment) VALUES (@c_custkey, @c_name, @c_mktsegment)'); SUBMIT TOPOLOGY w;
+      FROM orders USING memory_spout() JOIN name USING jdbc_fetch('{url}', '', '', "SELECT name FROM people WHERE id = @o_custkey AND segment = 'BUILDING'")
+        EMIT o_orderkey, name USING keep(); SUBMIT TOPOLOGY r;""")
+    return keep[0]
+
+
+@query("""SELECT o_orderkey, c_name AS name, c_nationkey AS nation FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING'""")
+def join_mongo_fetch(spark, sf):
+    s = Session(spark)
+    s.register("orders", table(spark, sf, "orders"), "o_orderkey", "o_orderdate")
+    s.collections["db", "people"] = table(spark, sf, "customer")
+    keep: list[DataFrame] = []
+    s.sinks["keep"] = lambda: keep.append
+    s.run("""FROM orders USING memory_spout() JOIN name, nation USING mongo_fetch('db', 'people', '{c_custkey:@o_custkey, c_mktsegment:"BUILDING"}', ['c_name', 'c_nationkey'], 1min)
+      EMIT o_orderkey, name, nation USING keep(); SUBMIT TOPOLOGY r;""")
+    return keep[0]
+
+
+def _answer(url: str) -> str:
+    """A service that knows the even numbers, breaks at multiples of three, and answers with a list of one object for each."""
+    n = int(url.rsplit("=", 1)[1])
+    if n % 3 == 0:
+        raise OSError("no answer")
+    return json.dumps({"found": [[{"id": n, "half": n // 2}]] if n % 2 == 0 else [[]]})
+
+
+@query("SELECT n_nationkey, n_nationkey::VARCHAR AS id, (n_nationkey // 2)::VARCHAR AS half FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey % 3 <> 0")
+def join_web_fetch(spark, sf):
+    """A lookup by url; rows whose request fails go, as do those without a result."""
+    fetch = lookups.web_fetch("http://service/?n=@n_nationkey", "found[0]", ["id", "half"], get=_answer)
+    return stream(table(spark, sf, "nation"), "nation", "n_nationkey").lookup(["id", "half"], fetch).each("n_nationkey, id, half").df
 
 
 @query("SELECT event_id::VARCHAR || ',' || event_type || ',\"' || replace(props, '\"', '\"\"') || '\"' AS value FROM events WHERE props LIKE '%\"%'")
@@ -454,6 +591,37 @@ def stream_slide(spark, sf):
     return _streamed(spark, sf, lambda s: s.begin_group("user_id").slide(3, "event_id, count() AS n, collect_list(event_type) AS l")).withColumn("l", F.array_join("l", ","))
 
 
+@query(SQL["filter_group"])
+def stream_filter_group(spark, sf):
+    conditions = ["event_type = 'purchase'", "event_type = 'click' AND value > 20"]
+    return _streamed(spark, sf, lambda s: s.begin_group("user_id").filter_group(Period(172800, "2days"), conditions, "until").each("event_id, user_id, size(until) AS n"))
+
+
+@query("SELECT event_id, (((user_id * 3) % 7) + 1)::BIGINT AS f FROM events")
+def udf_script(spark, sf):
+    """CREATE FUNCTION from a script, which is compiled once in each task."""
+    path = os.path.join(tempfile.mkdtemp(prefix="rivulet-"), "f.py")
+    with open(path, "w") as f:
+        f.write("def evaluate(x) -> int:\n    return None if x is None else x * 3 % 7 + 1\n")
+    s, out = Session(spark), []
+    s.register("events", table(spark, sf, "events"), "event_id", "ts")
+    s.sinks["keep"] = lambda: out.append
+    s.run(f"CREATE FUNCTION turned AS '{path}'; FROM events USING memory_spout() EACH event_id, turned(user_id) AS f EMIT * USING keep(); SUBMIT TOPOLOGY t;")
+    return out[0]
+
+
+_SCRIPT = """CREATE TUPLE a (x INT, y STRING) PARTITIONED BY x COMMENT 'first'; CREATE VIEW v AS FROM a FILTER x > 1; SHOW TUPLES; SHOW VIEWS; DESC TUPLE a; DESC VIEW v;
+  SET k = 5; SET k; FROM a USING memory_spout() EACH x, y EMIT x TO a; EXPLAIN; CLEAR; DROP VIEW v; DROP TUPLE a; SHOW TUPLES"""
+
+
+@query("""SELECT * FROM (VALUES (1, 'OK'), (2, 'OK'), (3, '["a"]'), (4, '["v"]'), (5, '{"name": "a", "fields": {"x": "INT", "y": "STRING"}, "partitioned": ["x"], "comment": "first"}'),
+  (6, '{"name": "v", "from": "a", "filter": "x > 1", "comment": null}'), (7, 'OK'), (8, '{"k": "5"}'), (9, 'OK'),
+  (10, 'Explain:' || chr(10) || 'SPOUT_0(memory_spout(), [a(x INT, y STRING) partitioned by x])' || chr(10) || ' EACH_1([x, y])' || chr(10) || ' EMIT_2(TO a, [x])'), (11, 'OK'), (12, 'OK'), (13, 'OK'), (14, '[]')) t(n, result)""")
+def commands(spark, sf):
+    """Declarations and commands, and what each answers."""
+    return spark.createDataFrame(list(enumerate(Session(spark).run(_SCRIPT), 1)), "n int, result string")
+
+
 # functions of one's own
 class Doubled:
     returns = "bigint"

@@ -48,23 +48,23 @@ class GroupFrame(Frame):
 class TimeFrame(Frame):
     """The rows of the last ``length`` seconds by ``second`` that have arrived so far.
 
-    Spark's range frame also holds rows of the same second that arrive later. Counts and totals of
-    these are taken off again; values are filtered by their place.
+    A range of whole seconds would also hold rows of the same second that arrive later. Counts and totals
+    are of the seconds before, and of the rows so far in the row's own second; values are filtered by place.
     """
 
     def __init__(self, keys: list[Column], second: Column, seq: str, length: int):
         self.second, self.seq = second, seq
-        self.range = Window.partitionBy(*keys).orderBy(second).rangeBetween(-length, 0)
-        self.later = Window.partitionBy(*keys, second).orderBy(F.col(seq)).rowsBetween(1, Window.unboundedFollowing)
+        by = Window.partitionBy(*keys).orderBy(second)
+        self.range, self.before = by.rangeBetween(-length, 0), by.rangeBetween(-length, -1)
+        self.same = Window.partitionBy(*keys, second).orderBy(F.col(seq)).rowsBetween(Window.unboundedPreceding, 0)
         super().__init__(lambda c: c.over(self.range))
 
     def count(self, x: Column) -> Column:
-        return F.count(x).over(self.range) - F.count(x).over(self.later)
+        return F.count(x).over(self.before) + F.count(x).over(self.same)
 
     def total(self, x: Column) -> Column:
-        later = F.sum(x).over(self.later)
-        own = F.sum(x).over(self.range)
-        return F.when(self.count(x) == 0, F.lit(None)).otherwise(F.when(later.isNull(), own).otherwise(own - later))
+        before, same = F.sum(x).over(self.before), F.sum(x).over(self.same)
+        return F.coalesce(before + same, before, same)
 
     def values(self, x: Column) -> Column:
         rows = F.collect_list(F.when(x.isNotNull(), F.struct(self.second.alias("t"), F.col(self.seq).alias("s"), x.alias("x")))).over(self.range)
@@ -73,10 +73,30 @@ class TimeFrame(Frame):
         return F.transform(in_order, lambda r: r["x"])
 
 
+_LOW = 0xFFFFFFFF
+
+
+def _halves(high: Column, low: Column) -> Column:
+    """high * 2 ** 32 + low as 64 bits, which wrap."""
+    return F.shiftleft(high + F.shiftright(low, 32), 32).bitwiseOR(low.bitwiseAND(F.lit(_LOW)))
+
+
+def wrapped_total(frame: Frame, x: Column) -> Column:
+    """The sum of a BIGINT column modulo 2 ** 64, from the sums of its halves: neither can overflow below two thousand million rows."""
+    return _halves(frame.total(F.shiftright(x, 32)), frame.total(x.bitwiseAND(F.lit(_LOW))))
+
+
+def wrapped_sum(values: Column) -> Column:
+    """The sum of an array of BIGINT modulo 2 ** 64."""
+    zero = F.lit(0).cast("bigint")
+    high = F.aggregate(values, zero, lambda a, b: a + F.shiftright(b, 32))
+    return _halves(high, F.aggregate(values, zero, lambda a, b: a + b.bitwiseAND(F.lit(_LOW))))
+
+
 def aggregate(frame: Frame, name: str, arg: Typed | None, distinct: bool) -> Typed:
     """count, sum, avg, collect_list, collect_set of ``arg`` in ``frame``; ``distinct`` takes each value once.
 
-    Sums of integers are BIGINT, and 0 where there is no value; averages of integers are whole, null
+    Sums of integers are BIGINT, which wrap, and 0 where there is no value; averages of integers are whole, null
     where there is no value.
     """
     if name == "count" and arg is None:
@@ -97,9 +117,10 @@ def aggregate(frame: Frame, name: str, arg: Typed | None, distinct: bool) -> Typ
     zero = F.lit(0).cast(kind)
     if distinct:
         own = F.array_distinct(frame.values(x))
-        total, n = F.aggregate(own, zero, lambda a, b: a + b), F.size(own).cast("bigint")
+        total, n = wrapped_sum(own) if whole else F.aggregate(own, zero, lambda a, b: a + b), F.size(own).cast("bigint")
     else:
-        total, n = F.coalesce(frame.total(x), zero), None
+        # 32 bits and less can't overflow
+        total, n = F.coalesce(wrapped_total(frame, x) if isinstance(t, T.LongType) else frame.total(x), zero), None
     if name == "sum":
         return total, kind
     n = frame.count(x) if n is None else n

@@ -5,12 +5,14 @@ from __future__ import annotations
 import importlib
 import importlib.util
 import inspect
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import TYPE_CHECKING, Any
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rivulet.errors import QueryError
 
@@ -38,10 +40,28 @@ class UserFunction:
             raise QueryError(f"{self.name} is an aggregate and is not allowed here")
         make, kind = self.make, T.StructType.fromDDL(f"x {self.returns}")[0].dataType
 
-        def evaluate(*args):
-            return make().evaluate(*args)
+        arrow = to_arrow_type(kind)
 
-        return F.udf(evaluate, kind, useArrow=True)(*[binder.value(a)[0] for a in call.args]), kind
+        def evaluate(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+            own = make()  # once for each task, not for each row
+            for batch in batches:
+                yield pa.array([own.evaluate(*x) for x in zip(*(c.to_pylist() for c in batch))], arrow)
+
+        args = [binder.value(a)[0] for a in call.args]
+        if not args:
+            return F.udf(lambda: make().evaluate(), kind)(), kind
+        if len(args) == 1:
+            return F.arrow_udf(_single(make, arrow), kind)(*args), kind
+        return F.arrow_udf(evaluate, kind)(*args), kind
+
+
+def _single(make: Callable[[], Any], arrow: pa.DataType):
+    def evaluate(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = make()
+        for batch in batches:
+            yield pa.array([own.evaluate(x) for x in batch.to_pylist()], arrow)
+
+    return evaluate
 
 
 class _Script:
@@ -64,7 +84,7 @@ def load(name: str, location: str) -> UserFunction:
 
         def make() -> Any:
             names: dict[str, Any] = {}
-            exec(compile(code, location, "exec"), names)  # noqa: S102
+            exec(compile(code, location, "exec"), names)  # noqa: S102 (once for each task)
             return _Script(names)
 
     elif location.endswith(".js"):

@@ -291,16 +291,21 @@ class Stream:
         """One row for each result of the lookup, with ``fields`` added; rows without a result go."""
         return self._map(lambda df, bind: fetch(df, bind(df, None), fields))
 
-    def project(self, fields: Sequence[Field | str]) -> DataFrame:
-        """The fields that EMIT sends, as a DataFrame (of one tuple)."""
+    def sent(self, fields: Sequence[Field | str]) -> list[DataFrame]:
+        """The fields that EMIT sends of each tuple, and SEQ."""
         own = [Item(Parser(f).field() if isinstance(f, str) and f != "*" else Field((("*", ()),)) if f == "*" else f) for f in fields]
         outs = []
         for n, df in self.frames.items():
-            outs.append(df.select(*[c.alias(m) for m, c in self._binder([n])(df, None).items(own)]))
+            outs.append(df.select(*[c.alias(m) for m, c in self._binder([n])(df, None).items(own)], SEQ))
+        return outs
+
+    def project(self, fields: Sequence[Field | str]) -> DataFrame:
+        """The fields that EMIT sends, of all tuples."""
+        outs = self.sent(fields)
         out = outs[0]
         for x in outs[1:]:
             out = out.unionByName(x, allowMissingColumns=True)
-        return out
+        return out.drop(SEQ)
 
 
 def _calls(x: Any, out: list[Call], user: Callable[[str], bool]) -> None:

@@ -30,12 +30,27 @@ class Emit:
     number: int
     stream: Stream
     fields: tuple
-    write: Callable[[DataFrame], None]
+    write: Callable[..., None]
     text: str
+    #: Makes the sink anew where its arguments name the topology, which is known once it is submitted.
+    make: Callable[[], Callable[..., None]] | None = None
 
     def df(self) -> DataFrame:
         return self.stream.project(self.fields)
 
+    def send(self, batch: str | None = None) -> tuple[DataFrame, Callable[[DataFrame, str | None], None]]:
+        """What the sink gets, and a function that writes it, or a batch of it, under the batch's name."""
+        if getattr(self.write, "ordered", False):
+            parts = self.stream.sent(self.fields)
+            sends = [visible(p) for p in parts]
+            out = parts[0].withColumn(writers.FROM, F.lit(0))
+            for i, p in enumerate(parts[1:], 1):
+                out = out.unionByName(p.withColumn(writers.FROM, F.lit(i)), allowMissingColumns=True)
+            return out, lambda df, name: self.write(df, name, sends)
+        if getattr(self.write, "by_batch", False):
+            return self.df(), self.write
+        return self.df(), lambda df, _: self.write(df)
+
 
 @dataclass
 class Topology:
@@ -120,7 +135,7 @@ class Session:
                 return self.table(schema)
             topic = next((a for a in args if isinstance(a, str) and a not in ("json", "binary")), f"rivulet_{schema.name}")
             offset = next((a for a in args if isinstance(a, int) and not isinstance(a, bool)), None)
-            options = readers.kafka_options(self.conf.get("kafka.servers", "localhost:9092"), topic, offset, any(a is True for a in args))
+            options = readers.kafka_options(self.conf.get("kafka.servers", "localhost:9092"), topic, offset, any(a is True for a in args), partitions=int(self.conf.get("kafka.partitions", "1")))
             return readers.kafka_topic(self.spark, schema, options, self.streaming)
 
         yield "kafka_spout", kafka
@@ -132,7 +147,9 @@ class Session:
         if own is None:
             if self.warehouse is None:
                 raise QueryError(f"no collection {'.'.join(key)}")
-            own = self.spark.read.parquet(f"{self.warehouse}/{key[0]}/{key[1]}")
+            own = writers.collection(self.spark, f"{self.warehouse}/{key[0]}/{key[1]}")
+            if own is None:
+                raise QueryError(f"no collection {'.'.join(key)}")
         return own
 
     # data
@@ -291,7 +308,7 @@ class Session:
         return s.lookup(a["fields"], self.fetches[fetch.name](*fetch.args))
 
     def _emit(self, s: Stream, c: Clause) -> Stream:
-        own = self._number("EMIT")
+        own, remake = self._number("EMIT"), None
         if "to" in c.args:
             name = c.args["to"]
             if name not in self.schemas:
@@ -301,24 +318,28 @@ class Session:
             sink: Processor = c.args["sink"]
             if sink.name not in self.sinks:
                 raise QueryError(f"no sink {sink.name}")
-            args = [re.sub(r"\$\{(\w+)\}", lambda m: str(self.context.names.get(m[1].lower(), m[0])), x) if isinstance(x, str) else x for x in sink.args]
-            write, text = self.sinks[sink.name](*args), show(sink)
+            fill = lambda x: re.sub(r"\$\{(\w+)\}", lambda m: str(self.context.names.get(m[1].lower(), m[0])), x) if isinstance(x, str) else x
+            make = lambda: self.sinks[sink.name](*map(fill, sink.args))
+            write, text = make(), show(sink)
+            if any(isinstance(x, str) and "${" in x for x in sink.args):
+                remake = make
         self.plan.append(f" {own}({text}, {show(c.args['fields'])})" + (f" parallelism={c.parallelism}" if c.parallelism else ""))
-        self.emits.append(Emit(len(self.emits), s, c.args["fields"], write, text))
+        self.emits.append(Emit(len(self.emits), s, c.args["fields"], write, text, remake))
         return s
 
     def _reingest(self, name: str) -> Callable[[DataFrame], None]:
         """Rows become records of another tuple: in the warehouse's folder for it, from which the tuple is then read."""
         schema = self.schemas[name]
 
-        def write(df: DataFrame) -> None:
+        def write(df: DataFrame, batch: str | None = None) -> None:
             if self.warehouse is None:
                 raise QueryError("EMIT TO needs a session with a warehouse folder")
             path = f"{self.warehouse}/tuples/{name}"
             lines = writers.as_json(df.select(*[c for c in df.columns if c in schema.names()]))
-            lines.write.mode("append").text(path)
+            writers.appended(lines, path, lambda w, p: w.text(p), batch)
             self.tables[name] = lambda: readers.json_folder(self.spark, path, schema, self.streaming)
 
+        write.by_batch = True
         return write
 
     # commands
@@ -432,16 +453,19 @@ class Session:
     def _start(self, t: Topology) -> None:
         t.status = "RUNNING"
         for e in t.emits:
-            df = e.df()
+            if e.make:
+                e.write = e.make()
+            df, write = e.send()
             if df.isStreaming:
-                out = df.writeStream.outputMode("append").foreachBatch(lambda batch, _, write=e.write: write(batch))
+                name = re.sub(r"\W", "_", f"{t.name}-{e.number}")
+                out = df.writeStream.outputMode("append").foreachBatch(lambda batch, n, write=write, name=name: write(batch, f"{name}_{n}"))
                 if self.warehouse:
                     out = out.option("checkpointLocation", f"{self.warehouse}/checkpoints/{t.name}/{e.number}")
                 if self.conf.get("trigger") == "available":
                     out = out.trigger(availableNow=True)
                 t.queries.append(out.start())
             else:
-                e.write(df)
+                write(df, None)
 
     def explain(self, extended: bool = False, name: str | None = None) -> str:
         """The operators of the topology; with ``extended`` the fields of each sink and Spark's plan too."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import re
 import urllib.parse
 import urllib.request
@@ -21,6 +22,8 @@ from rivulet.plans.parser import Parser
 
 Fetch = Callable[[DataFrame, Binder, Sequence[str]], DataFrame]
 _MARK = re.compile(r"(?<!\\)@([A-Za-z0-9_]+(?:\.[A-Za-z0-9_]+)*)")
+#: Rows of a lookup that compares no field of the stream.
+_MOST = 10_000
 #: Statistics decide whether a lookup table is broadcast; this is never forced on tables of unknown size.
 
 
@@ -47,7 +50,12 @@ def table_lookup(table: DataFrame, keys: dict[str, str], columns: Sequence[str],
         right = own.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], *[F.col(c).alias(f"__f{i}") for i, c in enumerate(columns)])
         left = df.withColumns({f"__l{i}": _field(binder, f)[0] for i, f in enumerate(keys.values())})
         on = [F.col(f"__l{i}") == F.col(f"__k{i}") for i in range(len(keys))]
-        joined = left.join(right, on) if on else left.crossJoin(right)
+        if on:
+            joined = left.join(right, on)
+        else:  # a lookup without a field: its whole result goes to every row, so it must be small
+            if len(right.limit(_MOST + 1).collect()) > _MOST:
+                raise QueryError(f"a lookup without @field gives over {_MOST} rows")
+            joined = left.join(F.broadcast(right), F.lit(True))
         names = [c for c in df.columns if c not in fields]
         return joined.select(*[F.col(f"`{c}`") for c in names if not c.startswith("__")], *[F.col(f"__f{i}").alias(f) for i, f in enumerate(fields)], *[c for c in names if c.startswith("__")])
 
@@ -119,7 +127,10 @@ def walk(document: Any, path: str) -> list[Any]:
 
 
 def web_fetch(url: str, path: str, columns: Sequence[str], *more: Any, get: Callable[[str], str] | None = None) -> Fetch:
-    """GET for each row, with @fields filled in; each task asks once for each url. Results come as JSON text or scalars as strings."""
+    """GET for each row, with @fields filled in; each task asks once for each url. Results come as JSON text or scalars as strings.
+
+    A failing request, or an answer that is not JSON, is logged and its row dropped.
+    """
     marks = list(dict.fromkeys(_MARK.findall(url)))
 
     def fetch(df: DataFrame, binder: Binder, fields: Sequence[str]) -> DataFrame:
@@ -139,7 +150,11 @@ def web_fetch(url: str, path: str, columns: Sequence[str], *more: Any, get: Call
                     if own not in cache:
                         if len(cache) > 10_000:
                             cache.clear()
-                        cache[own] = walk(json.loads(read(own)), path)
+                        try:
+                            cache[own] = walk(json.loads(read(own)), path)
+                        except (OSError, ValueError) as e:  # the row goes, and the next one with this url asks again
+                            logging.getLogger("rivulet.web_fetch").error("%s: %s", own, e)
+                            continue
                     for x in cache[own]:
                         got = [x.get(c) if isinstance(x, dict) else None for c in columns]
                         out.append({**row, **dict(zip(fields, [v if v is None or isinstance(v, str) else json.dumps(v) for v in got]))})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,9 +49,9 @@ def parquet_stream(spark: SparkSession, folder: str, seq: str | None = None, clo
     return prepared(spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder), seq, clock)
 
 
-def kafka_options(servers: str, topic: str, start_offset: int | None = None, from_start: bool = False, most: int = 1 << 20) -> dict[str, str]:
-    """Options of Spark's Kafka source: where to start, and how many records a trigger takes at most."""
-    offsets = "earliest" if from_start or start_offset in (-2, 0) else "latest" if start_offset in (None, -1) else f'{{"{topic}": {{"0": {start_offset}}}}}'
+def kafka_options(servers: str, topic: str, start_offset: int | None = None, from_start: bool = False, most: int = 1 << 20, partitions: int = 1) -> dict[str, str]:
+    """Options of Spark's Kafka source: where to start, in each of the topic's ``partitions``, and how many records a trigger takes at most."""
+    offsets = "earliest" if from_start or start_offset in (-2, 0) else "latest" if start_offset in (None, -1) else json.dumps({topic: {str(k): start_offset for k in range(partitions)}})
     return {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": offsets, "maxOffsetsPerTrigger": str(most), "failOnDataLoss": "false"}
 
 

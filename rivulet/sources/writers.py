@@ -1,4 +1,9 @@
-"""Sinks. Each takes a DataFrame of the fields sent; streams are written batch by batch."""
+"""Sinks. Each takes a DataFrame of the fields sent; streams are written batch by batch.
+
+A sink with ``by_batch`` also takes a name of the batch, which is the same when Spark runs a batch again, and
+then writes it once only. One with ``ordered`` gets rows with their place of arrival (SEQ) and the number of
+the tuple they come from (FROM), and the fields that each tuple sends.
+"""
 
 from __future__ import annotations
 
@@ -15,9 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rivulet.errors import QueryError
-from rivulet.storage import written
+from rivulet.operators.windows import SEQ
+from rivulet.storage import delete
 
-Write = Callable[[DataFrame], None]
+Write = Callable[..., None]
+#: Column with the number of the tuple that a row comes from.
+FROM = "__from"
 _ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 
@@ -49,37 +57,105 @@ def kafka_emit(topic: str, form: str = "json", servers: str = "localhost:9092")
     return write
 
 
+def _files(df: DataFrame, path: str):
+    """The Hadoop file system of ``path``, and a function that makes paths of it."""
+    make = df.sparkSession._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(df.sparkSession._jsc.hadoopConfiguration()), make
+
+
+def appended(df: DataFrame, path: str, save: Callable[[Any, str], None], batch: str | None = None) -> None:
+    """Adds the files of ``df`` to a folder. A named batch's files bear its name and replace those it has left before."""
+    if batch is None:
+        save(df.write.mode("append"), path)
+        return
+    aside = f"{path}__{batch}"
+    save(df.write.mode("overwrite"), aside)
+    fs, make = _files(df, path)
+    fs.mkdirs(make(path))
+    for old in fs.globStatus(make(f"{path}/{batch}-*")):
+        fs.delete(old.getPath(), False)
+    for k, new in enumerate(fs.globStatus(make(f"{aside}/part-*"))):
+        name = new.getPath().getName()
+        fs.rename(new.getPath(), make(f"{path}/{batch}-{k:05d}{name[name.index('.') :] if '.' in name else ''}"))
+    delete(df.sparkSession, aside)
+
+
 def folder_emit(path: str, form: str = "json") -> Write:
     """JSON or CSV lines appended to a folder."""
-    return lambda df: (as_csv if form == "csv" else as_json)(df).write.mode("append").text(path)
 
+    def write(df: DataFrame, batch: str | None = None) -> None:
+        appended((as_csv if form == "csv" else as_json)(df), path, lambda w, p: w.text(p), batch)
+
+    write.by_batch = True
+    return write
 
-def latest(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Of each key the last row by ``order``."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return df.withColumn("__last", F.row_number().over(w)).where("__last = 1").drop("__last")
+
+def latest(df: DataFrame, keys: Sequence[str], order: str = SEQ, sends: Sequence[Sequence[str]] | None = None) -> DataFrame:
+    """One row for each key: of each other field a struct of its last value by ``order``; null where no row of the key sends it.
+
+    Values are combined in each task before the shuffle, so a hot key sends one row of each task.
+    """
+    own = [c for c in df.columns if c not in (*keys, order, FROM)]
+    last = []
+    for c in own:
+        sent = F.lit(True) if sends is None else F.col(FROM).isin([i for i, fields in enumerate(sends) if c in fields])
+        last.append(F.max_by(F.when(sent, F.struct(F.col(f"`{c}`").alias("v"))), F.when(sent, F.col(order))).alias(c))
+    if not last:
+        return df.select(*[F.col(f"`{k}`") for k in keys]).distinct()
+    return df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(*last)
+
+
+def collection(spark: Any, path: str) -> DataFrame | None:
+    """The rows of the collection at ``path``; None where there is none. A switch that was cut off is undone first."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    fs = make(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(make(path)) and fs.exists(make(f"{path}__before")):
+        fs.rename(make(f"{path}__before"), make(path))
+    try:
+        return spark.read.option("mergeSchema", "true").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def upsert(path: str, keys: Sequence[str] = ()) -> Write:
-    """A folder of Parquet as a collection: rows are appended, or with ``keys`` take the place of the row with their key.
+    """A folder of Parquet as a collection: rows are added, or with ``keys`` set the fields that they send of the row with their key.
 
-    Merged rows are written aside to the shared folder first and then replace the collection.
+    The last row of a key, in order of arrival, sets a field; fields that are not sent keep their value. The
+    merged collection is written aside in full and takes the place of the old one by two renames, and a cut
+    between these is mended at the next read: a collection is meant to be much smaller than its stream.
     """
-    def write(df: DataFrame) -> None:
+
+    def write(df: DataFrame, batch: str | None = None, sends: Sequence[Sequence[str]] | None = None) -> None:
+        spark = df.sparkSession
         if not keys:
-            df.write.mode("append").parquet(path)
+            plain = df.drop(SEQ, FROM)
+            appended(plain, path, lambda w, p: w.parquet(p), batch)
             return
-        new = df.withColumn("__place", F.monotonically_increasing_id())
-        new = latest(new, keys, "__place").drop("__place")
-        try:
-            old = df.sparkSession.read.parquet(path)
-        except AnalysisException:
-            old = None
-        if old is not None:
+        new = latest(df, keys, SEQ, sends)
+        old = collection(spark, path)
+        fields = [c for c in new.columns if c not in keys]
+        value = lambda c: F.col(f"n.`{c}`.v")
+        if old is None:
+            out = new.alias("n").select(*[F.col(f"n.`{k}`") for k in keys], *[value(c).alias(c) for c in fields])
+        else:
             same = [F.col(f"o.`{k}`").eqNullSafe(F.col(f"n.`{k}`")) for k in keys]
-            new = old.alias("o").join(new.select(*keys).alias("n"), same, "left_anti").unionByName(new, allowMissingColumns=True)
-        written(new, "upsert").write.mode("overwrite").parquet(path)
-
+            both = old.withColumn("__o", F.lit(True)).alias("o").join(new.withColumn("__n", F.lit(True)).alias("n"), same, "full_outer")
+            key = [F.when(F.col("__n"), F.col(f"n.`{k}`")).otherwise(F.col(f"o.`{k}`")).alias(k) for k in keys]
+            kept = lambda c: F.col(f"o.`{c}`") if c in old.columns else F.lit(None)
+            rest = [F.when(F.col(f"n.`{c}`").isNotNull(), value(c)).otherwise(kept(c)).alias(c) for c in fields]
+            out = both.select(*key, *rest, *[F.col(f"o.`{c}`") for c in old.columns if c not in (*keys, *fields)])
+        fs, make = _files(df, path)
+        out.write.mode("overwrite").parquet(f"{path}__after")
+        if fs.exists(make(path)):
+            fs.delete(make(f"{path}__before"), True)
+            fs.rename(make(path), make(f"{path}__before"))
+        fs.rename(make(f"{path}__after"), make(path))
+        fs.delete(make(f"{path}__before"), True)
+
+    write.ordered = bool(keys)
+    write.by_batch = True
     return write
 
 

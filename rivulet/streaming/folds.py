@@ -7,7 +7,9 @@ lives in the state store). Clocks are whole epoch seconds in ``__now``.
 
 from __future__ import annotations
 
+import bisect
 from collections import deque
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from itertools import product
@@ -115,17 +117,22 @@ class TupleJoin(Fold):
     def start(self) -> list[list[tuple[int, Any]]]:
         return [[] for _ in range(self.sides)]
 
-    def row(self, state: list, row: Row) -> list[Row]:
+    def row(self, state: list, row: Row) -> Iterable[Row]:
         now, side = row["__now"], row["__side"]
-        state[side].append((now + self.seconds, row[f"__p{side}"]))
+        if state[side] and state[side][-1][0] > now + self.seconds:  # a late row goes where its time is
+            bisect.insort(state[side], (now + self.seconds, row[f"__p{side}"]), key=lambda x: x[0])
+        else:
+            state[side].append((now + self.seconds, row[f"__p{side}"]))
         for own in state:
-            own[:] = [x for x in own if x[0] >= now]
+            if own and own[0][0] < now:  # the live ones begin after all that have expired
+                del own[: bisect.bisect_left(own, now, key=lambda x: x[0])]
         if not all(state):
-            return []
-        out = [{**{k: row.get(k) for k in row if not k.startswith("__p")}, **{f"__p{i}": p for i, (_, p) in enumerate(one)}} for one in product(*state)]
+            return ()
+        taken = [[p for _, p in own] for own in state]
         for own in state:
             own.clear()
-        return out
+        rest = {k: v for k, v in row.items() if not k.startswith("__p")}
+        return ({**rest, **{f"__p{i}": p for i, p in enumerate(one)}} for one in product(*taken))
 
 
 # aggregates with eviction, for SLIDE, SNAPSHOT and running EACH in streams, and for user-defined ones
@@ -173,16 +180,18 @@ class Sum(Accumulator):
         self.total, self.n = 0, 0
 
     def result(self):
-        return self.total
+        """Integers wrap at 64 bits."""
+        return (self.total + (1 << 63)) % (1 << 64) - (1 << 63) if isinstance(self.total, int) else self.total
 
 
 class Average(Sum):
     def result(self):
         if not self.n:
             return None
-        if isinstance(self.total, int):
-            return self.total // self.n if self.total >= 0 else -(-self.total // self.n)
-        return self.total / self.n
+        total = super().result()
+        if isinstance(total, int):
+            return total // self.n if total >= 0 else -(-total // self.n)
+        return total / self.n
 
 
 class CollectList(Accumulator):

@@ -43,7 +43,11 @@ def _batch(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold)
                     own = [row[k] for k in keys]
                     if own != group:
                         group, state = own, fold.start()
-                    out.extend(fold.row(state, row))
+                    for one in fold.row(state, row):
+                        out.append(one)
+                        if len(out) >= _TOGETHER:
+                            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                            out = []
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=arrow)
                     out = []
