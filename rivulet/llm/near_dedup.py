@@ -6,7 +6,10 @@ threshold is verified on the full shingle sets. Documents of one shingle set are
 bucket every node is first paired with the bucket's smallest node, so a bucket of n nodes gives n - 1
 pairs. Where a bucket's nodes then are in one component, nothing is left to find; in the others, nodes
 of different components are compared in blocks of bounded size, each pair in the first band it shares,
-and a block sends on one link for each node and component, not all pairs.
+and a block sends on one link for each node and component, not all pairs. Buckets of more than one block
+are first filed anew by the rarest shingles of their nodes, if that leaves less to compare, so that texts
+that share much but stay below the threshold do not cost the square of their number. Sets are of 64-bit
+hashes of shingles, on which links are confirmed.
 """
 
 from __future__ import annotations
@@ -32,7 +35,9 @@ BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 2
 #: An estimate this far below the threshold (six standard errors) rules a pair out.
 MARGIN = 0.2
 #: Nodes of a block, and shingles of each that a block holds: the smallest hashes, for most texts all of them.
-BLOCK, HELD = 1024, 512
+BLOCK, HELD = 512, 512
+#: Shingles that more nodes than this have are ordered by their number; of these there are at most MOST_OFTEN.
+RARE, MOST_OFTEN = 16, 1_000_000
 #: Margin of estimates from HELD hashes (five standard errors).
 HELD_MARGIN = 0.1
 
@@ -203,8 +208,9 @@ def _compared(block: pa.Table, percent: int, most: int = HELD) -> tuple[list[int
         fit = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
         if not len(fit):
             continue
-        here = int(np.flatnonzero(bands(regs[i]) == band[i])[0])
-        fit = fit[(regs[fit] == regs[i]).reshape(-1, BANDS, ROWS).all(2).argmax(1) == here]
+        here = np.flatnonzero(bands(regs[i]) == band[i])
+        if len(here):  # a bucket of sketches, not of beginnings: each pair in the first band it shares
+            fit = fit[(regs[fit] == regs[i]).reshape(-1, BANDS, ROWS).all(2).argmax(1) == here[0]]
         if len(fit):
             fit = fit[estimate(np.broadcast_to(regs[i], (len(fit), REGISTERS)), regs[fit], np.full(len(fit), n[i]), n[fit], 32) >= percent / 100 - MARGIN]
         small = fit[n[fit] <= most] if n[i] <= most else fit[:0]
@@ -219,16 +225,71 @@ def _compared(block: pa.Table, percent: int, most: int = HELD) -> tuple[list[int
     return out
 
 
+def _beginnings(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """band, node, component: nodes (``rows``: node, component) filed under each shingle of their beginning.
+
+    Shingles have one order for all nodes, the rarest first. Of n shingles the first n - ceil(percent * n / 100)
+    + 1 are the beginning: two sets that reach the threshold share one of these, so no link is lost, and texts
+    that share only what many have are not filed together. Rare ones are not told apart by their number.
+    """
+    rows = rows.join(sets, "node").select("node", "component", "shingles")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, n = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(0)] or [np.empty(0, np.int64)]), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"h": h, "n": n})
+
+    counts = written(rows.select("shingles").mapInArrow(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "counts")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = counts.where(F.col("n") > max(RARE, total // MOST_OFTEN)).toArrow()  # at most MOST_OFTEN
+    h, n = often.column("h").to_numpy(), often.column("n").to_numpy()
+    order = np.argsort(h)
+    shared = rows.sparkSession.sparkContext.broadcast((h[order], n[order]))
+
+    def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = shared.value
+        for batch in batches:
+            for node, component, x in zip(*(batch.column(k) for k in range(3))):
+                own = np.frombuffer(x.as_buffer(), np.int64)
+                rank = np.zeros(len(own), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    rank = np.where(known[at] == own, counts[at], 0)
+                first = own[np.lexsort((own, rank))[: len(own) - -(-percent * len(own) // 100) + 1]]
+                for a in range(0, len(first), 1 << 14):
+                    part = first[a : a + (1 << 14)]
+                    yield pa.RecordBatch.from_pydict({"band": part, "node": np.full(len(part), node.as_py()), "component": np.full(len(part), component.as_py())})
+
+    return written(rows.mapInArrow(filed, "band long, node long, component long"), "beginnings")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """band, home (a component of the band), m nodes, o of them elsewhere, for bands of several components."""
+    homes = rows.groupBy("band").agg(F.min("component").alias("home"), F.max("component").alias("other"), F.count(F.lit(1)).alias("m")).where("home != other and m > 1")
+    away = rows.join(homes, "band").where("component != home").groupBy("band").agg(F.count(F.lit(1)).alias("o"))
+    return homes.select("band", "home", "m").join(away, "band")
+
+
 def _crossed(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, most: int = HELD) -> DataFrame:
     """Pairs (a, b) of one bucket but different components that may reach the threshold.
 
     ``buckets``: band, node, component, center. What isn't in the center's component is compared with
-    all other nodes of the bucket, in blocks of about BLOCK by BLOCK nodes.
+    all other nodes of the bucket, in blocks of about BLOCK by BLOCK nodes. Where buckets need more than one
+    block, their nodes are filed anew by the beginnings of their sets if that leaves fewer pairs to compare.
     """
     home = buckets.where("node = center").select("band", F.col("component").alias("home"))
     sizes = buckets.join(home, "band").groupBy("band", "home").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("component") != F.col("home")).alias("o")).where("o > 0 and m > 2")
+    sizes = written(sizes, "sizes")
+    rows = buckets.join(sizes, "band").select("band", "node", "component", "home", "m", "o")
+    cost = lambda df: df.agg(F.coalesce(F.sum(F.col("m").cast("double") * F.col("o")), F.lit(0.0))).first()[0]
+    large = sizes.where(F.col("m") > BLOCK)
+    if (before := cost(large)) > 0:
+        again = _beginnings(rows.where(F.col("m") > BLOCK).select("node", "component").distinct(), sets, percent)
+        less = written(_mixed(again), "mixed")
+        if cost(less) < before:
+            rows = rows.where(F.col("m") <= BLOCK).unionByName(again.join(less, "band").select("band", "node", "component", "home", "m", "o"))
     own = nodes.select(F.col("key").alias("node"), "regs", "n_shingles").join(sets.select("node", F.substring("shingles", 1, 8 * most).alias("held")), "node")
-    rows = buckets.join(sizes, "band").join(own, "node")
+    rows = rows.join(own, "node")
     spread = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
     ways = lambda n: F.ceil(F.col(n) / BLOCK).cast("long")
     order, more = ["band", "x", "y"], ["node", "component", "regs", "n_shingles", "held"]

@@ -125,6 +125,19 @@ def test_near_duplicates_in_large_groups(spark, monkeypatch, block, held):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in got.values()})
 
 
+def test_texts_that_share_a_passage_are_not_compared_with_each_other(spark):
+    """400 texts of 100 common and 40 own words stay apart when filed by their rarest shingles; two near copies among them meet."""
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(100)]
+    own = [passage + [f"w{rng.randrange(10**6)}" for _ in range(40)] for _ in range(400)]
+    own[7] = [*own[300][:-2], "x", "y"]
+    sets = [(i, i, bytearray(near_dedup.shingle_set(" ".join(w), 3).tobytes())) for i, w in enumerate(own)]
+    df = spark.createDataFrame(sets, "node long, component long, shingles binary")
+    filed = near_dedup._beginnings(df.select("node", "component"), df.select("node", "shingles"), 80)
+    assert {r.o for r in near_dedup._mixed(filed).collect()} == {1}
+    assert {r.node for r in filed.join(near_dedup._mixed(filed), "band").collect()} == {7, 300}
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = near_dedup.near_duplicates(odd(spark), 4, 80).collect()
     assert len(got) == 12 and sum(r.is_kept for r in got) == 12 - 3
