@@ -1,19 +1,16 @@
 """Language-model scores: a log-bilinear model trained by noise-contrastive estimation.
 
-The model predicts the next word from the three before: their vectors, weighed by place, add up to a
-context vector, whose products with the vectors of all classes, and of all words of the class, are the
-scores of the next word's class and of the word in it. Frequent words are outputs of their own; all others
-share outputs by their ending, inside which they follow their smoothed counts. Batched matrix products
-normalise both levels over all their outputs, so that a text's probability is exact.
-
-Training needs no normalisation: each window is told apart from noise classes and noise words of its
-class. Every task trains on all windows of its texts, in minibatches, and the tasks' parameters are
-averaged by their numbers of windows; the next round starts from these. Word counts are of the whole
-training corpus and stay in a table.
+The model predicts the class of the next word from the one before: the frequent words are classes of
+their own, all others are dealt into classes by a hash of their ending. Its score for class w after
+class v is C[v] . R[w] + b[w]; one matrix product normalises all of them. Inside a shared class, words
+follow their smoothed counts. All counts are of the whole training corpus: word counts grow with it and
+stay in a table; the class pairs, of bounded number, are what the noise-contrastive training sees, so no
+training text is left out. The expectation over the noise distribution is taken in full, not sampled.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -28,183 +25,97 @@ from pyspark.sql import functions as F
 from rivulet.llm import encoders
 from rivulet.llm.common import word_lists, written
 
-#: Words that are outputs of their own at most (the end of a text is one), how often one must stand in the corpus, outputs shared by the others, and bytes of the ending.
-OWN, LEAST, SHARED, ENDING = 1 << 14, 20, 256, 3
-#: Words before the next one, and dimensions of their vectors.
-CONTEXT, DIMENSIONS = 3, 24
-#: Rounds of training, noise classes of a minibatch and noise words of each of its classes, windows of a minibatch, and step size.
-ROUNDS, NOISE_CLASSES, NOISE_WORDS, BATCH, RATE = 2, 32, 8, 2048, 0.25
+#: Words that are classes of their own (the end of a text is one), classes of the others, and bytes of the ending.
+FREQUENT, SHARED, ENDING = 1024, 256, 3
 #: Frequent words whose counts are broadcast (rarer ones are joined), and bytes of the longest of these.
 BROADCAST_WORDS, LONGEST = 300_000, 64
-#: The end of a text, which stands before its first word too; no word holds a blank.
+#: Noise words for each word, dimensions and steps of the training.
+NOISE, DIMENSIONS, STEPS = 20, 32, 200
+#: The end of a text; no word holds a blank.
 END = b" end"
-#: Words that one row of the rare-word table holds at most; bytes of text counted before a flush; windows taken together.
-_TOGETHER, _FLUSH, _WINDOWS = 4096, 1 << 26, 1 << 15
-#: Parameters of a row in the averaging, and rows of one block that are added up apart at first.
-_BLOCK, _SALTS = 1 << 14, 256
+#: Words that one row of the rare-word table holds at most; distinct words, and bytes of text, counted before a flush.
+_TOGETHER, _FLUSH, _FLUSH_BYTES = 4096, 1 << 20, 1 << 26
 
 
-def ending(word: bytes) -> int:
-    return zlib.crc32(word[-ENDING:]) % SHARED
+def ending_class(word: bytes) -> int:
+    return FREQUENT + zlib.crc32(word[-ENDING:]) % SHARED
+
+
+def train(pairs: np.ndarray, steps: int = STEPS, dimensions: int = DIMENSIONS, noise: float = NOISE, seed: int = 0) -> np.ndarray:
+    """Natural log-probabilities of each class (columns) after each one (rows), from the pairs' counts.
+
+    Adam on the noise-contrastive objective: a pair's score, less the log of its expected noise count,
+    is the log-odds that it is data. The final scores are normalised.
+    """
+    n = pairs.sum(1, keepdims=True).astype(np.float64)
+    q = pairs.sum(0) + 0.5
+    q = q / q.sum()
+    rng = np.random.default_rng(seed)
+    k = len(q)
+    c, r = (rng.normal(0, 0.1, (k, dimensions)).astype(np.float32) for _ in range(2))
+    b = np.log(q).astype(np.float32)
+    data, fake, shift = pairs.astype(np.float32), (noise * n * q).astype(np.float32), np.log(noise * q).astype(np.float32)
+    scale = np.float32(1 / max(1.0, n.sum() / k))
+    own = [c, r, b]
+    m, v = [np.zeros_like(x) for x in own], [np.zeros_like(x) for x in own]
+    ridge = (np.float32(1e-3), np.float32(1e-3), np.float32(0))
+    for t in range(1, steps + 1):
+        p = 1 / (1 + np.exp(-np.clip(c @ r.T + b - shift, -60, 60)))
+        g = (data * (1 - p) - fake * p) * scale
+        grads = (g @ r - ridge[0] * c, g.T @ c - ridge[1] * r, g.sum(0))
+        rate = 0.05 * min(1.0, 2 * (1 - t / (steps + 1)))
+        for x, d, mm, vv in zip(own, grads, m, v):
+            mm += 0.1 * (d - mm)
+            vv += 0.01 * (d * d - vv)
+            x += np.float32(rate) * (mm / (1 - 0.9**t)) / (np.sqrt(vv / (1 - 0.99**t)) + np.float32(1e-8))
+    s = (c @ r.T + b).astype(np.float64)
+    top = s.max(1, keepdims=True)
+    return (s - top - np.log(np.exp(s - top).sum(1, keepdims=True))).astype(np.float32)
 
 
 @dataclass
-class Outputs:
-    """The model's outputs, in the order of their classes: ``ids`` of own words, ``shared`` of endings; ``starts`` of classes; log counts."""
-
-    ids: dict[bytes, int]
-    shared: np.ndarray
-    starts: np.ndarray
-    logs: np.ndarray
-
-    @classmethod
-    def of(cls, own: dict[bytes, int], rest: np.ndarray) -> Outputs:
-        """From the counts of own words and of endings. Outputs alike in their last letters share a class; classes are of about equal size."""
-        names = [*own, *[b" %d" % k for k in range(SHARED)]]
-        n = np.array([*own.values(), *rest], np.float64) + 0.5
-        order = sorted(range(len(names)), key=lambda i: names[i][::-1])
-        place = np.empty(len(names), np.int64)
-        place[order] = np.arange(len(names))
-        size = int(np.ceil(np.sqrt(len(names))))
-        return cls(dict(zip(own, place.tolist())), place[len(own) :], np.append(np.arange(0, len(names), size), len(names)), np.log(n[order]))
-
-    def classes(self) -> np.ndarray:
-        """The class of each output."""
-        return np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
-
-    def words(self, words: list[bytes]) -> np.ndarray:
-        get, shared = self.ids.get, self.shared
-        return np.array([i if (i := get(w)) is not None else shared[ending(w)] for w in words], np.int64)
-
-
-class Bilinear:
-    """Parameters: ``r`` vectors of context words, ``c`` weights of places, ``s``, ``a`` of classes, ``q``, ``b`` of words."""
-
-    def __init__(self, outputs: Outputs, dimensions: int = DIMENSIONS, seed: int = 0):
-        self.of, self.starts = outputs.classes(), outputs.starts
-        k, m = len(self.of), len(self.starts) - 1
-        rng = np.random.default_rng(seed)
-        draw = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-        # log noise probabilities of classes, and of words in their classes
-        total = np.logaddexp.reduceat(outputs.logs, self.starts[:-1])
-        self.noise_a, self.noise_b = (total - np.logaddexp.reduce(total)).astype(np.float32), (outputs.logs - total[self.of]).astype(np.float32)
-        self.cum = np.cumsum(np.exp(outputs.logs - outputs.logs.max()))
-        self.own = [draw(k, dimensions), np.full((CONTEXT, dimensions), 1.0 / CONTEXT, np.float32), draw(m, dimensions), self.noise_a.copy(), draw(k, dimensions), self.noise_b.copy()]
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in self.own])
-
-    def load(self, flat: np.ndarray) -> None:
-        ends = np.cumsum([x.size for x in self.own])[:-1]
-        self.own = [part.reshape(x.shape).astype(np.float32) for part, x in zip(np.split(flat, ends), self.own)]
-
-    def contexts(self, before: np.ndarray) -> np.ndarray:
-        r, c = self.own[:2]
-        h = r[before[:, 0]] * c[0]
-        for j in range(1, CONTEXT):
-            h += r[before[:, j]] * c[j]
-        return h
-
-    def log_probabilities(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-        """Natural log-probability of each output after its context, normalised over all outputs."""
-        _, _, s, a, q, b = self.own
-        h, of = self.contexts(before), self.of[after]
-        out = _log_softmax(h @ s.T + a, of)
-        order = np.argsort(of, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
-            if len(part):
-                x, y = self.starts[of[part[0]]], self.starts[of[part[0]] + 1]
-                out[part] += _log_softmax(h[part] @ q[x:y].T + b[x:y], after[part] - x)
-        return out.astype(np.float64)
-
-    def step(self, before: np.ndarray, after: np.ndarray, rng: np.random.Generator, seen: list[np.ndarray]) -> None:
-        """One minibatch of noise-contrastive estimation by AdaGrad; ``seen`` has the sums of squared gradients."""
-        order = np.argsort(self.of[after], kind="stable")
-        before, after = before[order], after[order]
-        r, c, s, a, q, b = self.own
-        n, of, h = len(after), self.of[after], self.contexts(before)
-        # classes: the noise is shared by the minibatch
-        noise = np.searchsorted(np.cumsum(np.exp(self.noise_a)), rng.random(NOISE_CLASSES)).clip(max=len(a) - 1)
-        shift = np.float32(np.log(NOISE_CLASSES))
-        right = _rest((h * s[of]).sum(1) + a[of] - self.noise_a[of] - shift)
-        wrong = -_sigmoid(h @ s[noise].T + a[noise] - self.noise_a[noise] - shift)
-        dh = right[:, None] * s[of] + wrong @ s[noise]
-        ds, da = _summed(np.concatenate((of, noise)), np.concatenate((right[:, None] * h, wrong.T @ h)), np.concatenate((right, wrong.sum(0))))
-        # words: the windows of a class (they come sorted by it) share noise words of that class
-        firsts = np.flatnonzero(np.diff(of, prepend=-1))
-        own = of[firsts]
-        low = np.where(self.starts[own] > 0, self.cum[self.starts[own] - 1], 0.0)[:, None]
-        fake = np.searchsorted(self.cum, low + rng.random((len(own), NOISE_WORDS)) * (self.cum[self.starts[own + 1] - 1][:, None] - low), side="right")
-        fake = np.clip(fake, self.starts[own][:, None], self.starts[own + 1][:, None] - 1)
-        shift = np.float32(np.log(NOISE_WORDS))
-        right = _rest((h * q[after]).sum(1) + b[after] - self.noise_b[after] - shift)
-        of_window = np.repeat(np.arange(len(own)), np.diff(firsts, append=n))
-        far = q[fake][of_window]
-        wrong = -_sigmoid(np.einsum("nd,nkd->nk", h, far) + (b[fake] - self.noise_b[fake])[of_window] - shift)
-        dh += right[:, None] * q[after] + np.einsum("nk,nkd->nd", wrong, far)
-        noisy = np.add.reduceat((wrong[:, :, None] * h[:, None, :]).reshape(n, -1), firsts, axis=0).reshape(-1, h.shape[1])
-        at = np.concatenate((after, fake.ravel()))
-        dq, db = _summed(at, np.concatenate((right[:, None] * h, noisy)), np.concatenate((right, np.add.reduceat(wrong, firsts, axis=0).ravel())))
-        dc = np.stack([(dh * r[before[:, j]]).sum(0) for j in range(CONTEXT)])
-        dr, _ = _summed(before.T.ravel(), np.concatenate([dh * c[j] for j in range(CONTEXT)]), None)
-        for x, (rows, d), g in zip(self.own, (dr, (slice(None), dc), ds, da, dq, db), seen):
-            g[rows] += d * d
-            x[rows] += np.float32(RATE) * d / np.sqrt(g[rows] + np.float32(1e-6))
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
-def _rest(x: np.ndarray) -> np.ndarray:
-    return 1 - _sigmoid(x)
-
-
-def _log_softmax(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
-    scores -= scores.max(1, keepdims=True)
-    return scores[np.arange(len(at)), at] - np.log(np.exp(scores).sum(1))
-
-
-def _summed(at: np.ndarray, vectors: np.ndarray, numbers: np.ndarray | None):
-    """((rows, sums of ``vectors``), (rows, sums of ``numbers``)) by ``at``, for the rows that stand there."""
-    order = np.argsort(at)
-    rows = at[order]
-    firsts = np.flatnonzero(np.diff(rows, prepend=-1))
-    rows = rows[firsts]
-    sums = np.add.reduceat(vectors[order], firsts, axis=0)
-    return (rows, sums), None if numbers is None else (rows, np.add.reduceat(numbers[order], firsts))
-
-
-def windows(texts: Iterator[str | None], outputs: Outputs, most: int = _WINDOWS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(before, after, text number, word list) of about ``most`` windows at a time, whatever the texts' lengths."""
-    end = outputs.ids[END]
-    held: list[tuple[np.ndarray, np.ndarray, int, list[bytes]]] = []
-    n = 0
-
-    def done():
-        words = [w for x in held for w in x[3]]
-        return np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), np.repeat([x[2] for x in held], [len(x[1]) for x in held]), words
-
-    for k, text in enumerate(texts):
-        last = np.full(CONTEXT, end, np.int64)
-        lists = word_lists(text)
-        while True:
-            part = next(lists, None)
-            words = [END] if part is None else part
-            for a in range(0, len(words), most):
-                own = outputs.words(words[a : a + most])
-                x = np.concatenate((last, own))
-                before = np.stack([x[CONTEXT - 1 - j : len(x) - 1 - j] for j in range(CONTEXT)], 1)
-                last = x[-CONTEXT:]
-                held.append((before, own, k, words[a : a + most]))
-                n += len(own)
-                if n >= most:
-                    yield done()
-                    held, n = [], 0
-            if part is None:
-                break
-    if held:
-        yield done()
+class Model:
+    """``table``: log10 probabilities of classes; ``known``: counts of broadcast words; ``inside``: log10 of each shared class's smoothed total; ``whole``: that of the base model."""
+
+    classes: dict[bytes, int]
+    known: dict[bytes, int]
+    table: np.ndarray
+    inside: np.ndarray
+    whole: float
+    tokens: int
+
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        get = self.classes.get
+        return np.array([i if (i := get(w)) is not None else ending_class(w) for w in words], np.int64)
+
+    def parts(self, text: str | None) -> tuple[int, int, float, float, list[bytes]]:
+        """Tokens, known ones among the broadcast words, base and model scores, and the words whose counts are still to be found.
+
+        For these, log10(count + 0.5) is to be added to both scores: classes of their own are always known. A
+        text is read a megabyte at a time.
+        """
+        tokens, unknown, base, score, rare, before = 0, 0, 0.0, 0.0, [], self.classes[END]
+        for words in itertools.chain(word_lists(text), [[END]]):
+            if not words:
+                continue
+            ids = self.ids(words)
+            score += float(self.table[np.concatenate(([before], ids[:-1])), ids].sum(dtype=np.float64))
+            before = ids[-1]
+            shared = ids >= FREQUENT
+            score -= float(self.inside[ids[shared] - FREQUENT].sum())
+            counts = list(map(self.known.get, words))
+            rare += [w for w, n in zip(words, counts) if n is None]
+            logs = self.logs(counts)
+            here = np.array([n is not None for n in counts])
+            base += float(logs[here].sum()) - self.whole * len(words)
+            score += float(logs[here & shared].sum())
+            tokens += len(words)
+            unknown += sum(n == 0 for n in counts)
+        return tokens, tokens - len(rare) - unknown, base, score, rare
+
+    @staticmethod
+    def logs(counts: list[int | None]) -> np.ndarray:
+        return np.log10(np.array([n or 0 for n in counts]) + 0.5)
 
 
 def count_words(docs: DataFrame, text: str = "text", train_on: str = "train") -> DataFrame:
@@ -219,29 +130,58 @@ def count_words(docs: DataFrame, text: str = "text", train_on: str = "train") ->
                 held[END] += 1
                 for words in word_lists(x):
                     held.update(words)
-                    size += sum(map(len, words))
-                    if size >= _FLUSH:
+                    size += min(len(x) * 4, 1 << 20)
+                    if size >= _FLUSH_BYTES and len(own) + len(other) >= _FLUSH // 8 or len(own) + len(other) >= _FLUSH:
                         yield from _rows(own, other)
                         size = 0
         yield from _rows(own, other)
 
     def _rows(own: Counter, other: Counter) -> Iterator[pa.RecordBatch]:
-        for held, t in ((own, True), (other, False)):
+        for held, learned in ((own, True), (other, False)):
             words, n = list(held.keys()), list(held.values())
             held.clear()
             for a in range(0, len(words), 1 << 15):
                 m = pa.array(n[a : a + (1 << 15)], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(words[a : a + (1 << 15)], pa.binary()), m if t else pa.array([0] * len(m), pa.int64()), m], names=["word", "n", "m"])
+                yield pa.RecordBatch.from_arrays([pa.array(words[a : a + (1 << 15)], pa.binary()), m if learned else pa.array([0] * len(m), pa.int64()), m], names=["word", "n", "m"])
 
     return docs.select(text, train_on).mapInArrow(counts, "word binary, n long, m long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
-def _frequent(counts: DataFrame, by: str, most: int, least: int = 1) -> DataFrame:
-    """The words of the greatest ``by``, ``most`` at the most and none below ``least`` or longer than LONGEST.
+def count_pairs(docs: DataFrame, classes: dict[bytes, int], text: str = "text") -> np.ndarray:
+    """Counts of class pairs over all texts; a task sends its non-zero cells, and at most (FREQUENT + SHARED) ** 2 sums reach the driver."""
+    size = FREQUENT + SHARED
+    shared = docs.sparkSession.sparkContext.broadcast(classes)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoders.forget()
+        get = shared.value.get
+        total = np.zeros(size * size, np.int64)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                before = 0  # class 0 is the end, and stands before the first word too
+                for words in itertools.chain(word_lists(x), [[END]]):
+                    if words:
+                        ids = np.array([before, *[i if (i := get(w)) is not None else ending_class(w) for w in words]], np.int64)
+                        at, n = np.unique(ids[:-1] * size + ids[1:], return_counts=True)
+                        total[at] += n
+                        before = ids[-1]
+        at = np.flatnonzero(total)
+        for a in range(0, len(at), 1 << 15):
+            own = at[a : a + (1 << 15)]
+            yield pa.RecordBatch.from_pydict({"cell": own, "n": total[own]})
+
+    rows = docs.select(text).mapInArrow(pairs, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size * size, np.int64)
+    out[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
+    return out.reshape(size, size)
+
+
+def _frequent(counts: DataFrame, by: str, most: int) -> DataFrame:
+    """The words of the greatest ``by``, ``most`` at the most and none longer than LONGEST.
 
     A histogram of the counts' logarithms gives the bound that keeps to that number; no task sorts all words.
     """
-    counts = counts.where((F.octet_length("word") <= LONGEST) & (F.col(by) >= least))
+    counts = counts.where((F.octet_length("word") <= LONGEST) & (F.col(by) > 0))
     step = F.floor(F.log2(by) * 16)
     bound, total = None, 0
     for k, n in sorted(map(tuple, counts.groupBy(step.alias("k")).count().collect()), reverse=True):
@@ -251,121 +191,40 @@ def _frequent(counts: DataFrame, by: str, most: int, least: int = 1) -> DataFram
     return counts.where(step >= bound if bound is not None else F.lit(False))
 
 
-def train(docs: DataFrame, outputs: Outputs, text: str = "text", rounds: int = ROUNDS) -> Bilinear:
-    """The model of all windows of ``docs``: tasks train apart, their parameters are averaged after each round."""
-    model = Bilinear(outputs)
-    sc = docs.sparkSession.sparkContext
-    for k in range(rounds):
-        shared = sc.broadcast((model, outputs))
-
-        def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            encoders.forget()
-            start, outs = shared.value
-            own, task, n = Bilinear.__new__(Bilinear), TaskContext.get().partitionId(), 0
-            own.__dict__.update(start.__dict__)
-            own.own = [x.copy() for x in start.own]
-            seen = [np.full_like(x, 0.1) for x in own.own]
-            rng = np.random.default_rng((k, task))
-            for before, after, _, _ in windows((x for batch in batches for x in batch.column(0).to_pylist()), outs):
-                order = rng.permutation(len(after))
-                for a in range(0, len(order), BATCH):
-                    part = order[a : a + BATCH]
-                    own.step(before[part], after[part], rng, seen)
-                n += len(after)
-            if n:
-                flat = own.flat()
-                for a in range(0, len(flat), _BLOCK):
-                    yield pa.RecordBatch.from_pydict({"block": pa.array([a // _BLOCK], pa.int32()), "salt": pa.array([task % _SALTS], pa.int32()), "n": pa.array([float(n)]), "x": pa.array([(flat[a : a + _BLOCK] * np.float64(n)).astype("<f8").tobytes()], pa.binary())})
-
-        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, list] = {}
-            for batch in batches:
-                for block, n, x in zip(*(batch.column(c).to_pylist() for c in ("block", "n", "x"))):
-                    own = sums.setdefault(block, [0.0, np.zeros(len(x) // 8)])
-                    own[0] += n
-                    own[1] += np.frombuffer(x, "<f8")
-            for block, (n, x) in sums.items():
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "salt": pa.array([0], pa.int32()), "n": pa.array([n]), "x": pa.array([x.tobytes()], pa.binary())})
-
-        schema = "block int, salt int, n double, x binary"
-        rows = docs.select(text).mapInArrow(trained, schema)
-        rows = rows.repartition("block", "salt").mapInArrow(added, schema).repartition("block").mapInArrow(added, schema).toArrow().sort_by("block")
-        if rows.num_rows:
-            n = rows.column("n").to_numpy()
-            model.load(np.concatenate([np.frombuffer(x.as_py(), "<f8") / n[i] for i, x in enumerate(rows.column("x"))]))
-        shared.destroy()
-    return model
-
-
-@dataclass
-class Model:
-    """``known``: counts of the broadcast words; ``inside``: log10 of each ending's smoothed total; ``whole``: that of the base model."""
-
-    outputs: Outputs
-    bilinear: Bilinear
-    known: dict[bytes, int]
-    inside: np.ndarray
-    whole: float
-    tokens: int
-
-    def parts(self, texts: list[str | None]) -> list[list]:
-        """Of each text: tokens, known ones among the broadcast words, base and model scores, and the words whose counts are still to be found.
-
-        For each of these, log10(count + 0.5) is to be added to both scores.
-        """
-        out = [[0, 0, 0.0, 0.0, []] for _ in texts]
-        inside = np.zeros(len(self.outputs.logs))
-        inside[self.outputs.shared] = self.inside
-        shared = np.zeros(len(inside), bool)
-        shared[self.outputs.shared] = True
-        for before, after, of, words in windows(iter(texts), self.outputs):
-            score = self.bilinear.log_probabilities(before, after) / np.log(10)
-            counts = list(map(self.known.get, words))
-            here = np.array([n is not None for n in counts])
-            n = np.array([n or 0 for n in counts])
-            logs = np.where(here, np.log10(n + 0.5), 0.0)
-            tail = shared[after]
-            score += np.where(tail, logs - inside[after], 0.0)
-            firsts = np.flatnonzero(np.diff(of, prepend=-1))
-            for k, a, b in zip(of[firsts].tolist(), firsts.tolist(), [*firsts[1:].tolist(), len(of)]):
-                own = out[k]
-                own[0] += b - a
-                own[1] += int((n[a:b] > 0).sum())
-                own[2] += float(logs[a:b].sum()) - self.whole * (b - a)
-                own[3] += float(score[a:b].sum())
-                own[4] += [words[i] for i in (np.flatnonzero(~here[a:b]) + a).tolist()]
-        return out
-
-
-def fit(docs: DataFrame, text: str = "text", train_on: str = "train", rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, text: str = "text", train_on: str = "train", steps: int = STEPS) -> tuple[Model, DataFrame]:
     """The model of all texts of ``docs`` where ``train_on``, and the table of word counts (word, n)."""
     counts = written(count_words(docs, text, train_on), "words")
     tokens, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    read = lambda df: dict(zip((t := df.select("word", "n").toArrow().sort_by("word")).column("word").to_pylist(), t.column("n").to_pylist()))
-    known = read(_frequent(counts, "m", BROADCAST_WORDS))
-    own = {END: counts.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]} | read(_frequent(counts, "n", OWN, LEAST))
-    known |= own  # a word of its own never needs the join
-    # words and tokens of each ending, without the words that are outputs of their own
+    ends = counts.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # frequent in any text: words that the training texts lack are known to be lacking
+    table = _frequent(counts, "m", BROADCAST_WORDS).select("word", "n").toArrow()
+    known = dict(zip(table.column("word").to_pylist(), table.column("n").to_pylist()))
+    top = sorted(((w, n) for w, n in _frequent(counts, "n", 4 * FREQUENT).select("word", "n").collect() if w != END), key=lambda x: (-x[1], x[0]))
+    own = [(END, ends), *((bytes(w), n) for w, n in top[: FREQUENT - 1])]
+    known |= dict(own)  # a class of its own never needs the join
+    frequent = [w for w, _ in own]
+    classes = {w: i for i, w in enumerate(frequent)}
+    pairs = count_pairs(docs.where(train_on), classes, text)
+    # words and tokens of each shared class, without the frequent words
     bucket = (F.crc32(F.expr(f"substring(word, -{ENDING})")) % SHARED).cast("int")
-    rest = counts.where("n > 0").join(F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in own], "word binary")), "word", "left_anti")
-    inside, n = np.full(SHARED, 0.5), np.zeros(SHARED)
-    for k, t, v in rest.groupBy(bucket.alias("k")).agg(F.sum("n"), F.count(F.lit(1))).collect():
-        inside[k], n[k] = t + 0.5 * (v + 1), t
-    outputs = Outputs.of(own, n)
-    bilinear = train(docs.where(train_on), outputs, text, rounds)
-    return Model(outputs, bilinear, known, np.log10(inside), float(np.log10(tokens + 0.5 * (kinds + 1))), int(tokens)), counts
+    rest = counts.where("n > 0").join(F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in frequent], "word binary")), "word", "left_anti")
+    inside = np.full(SHARED, 0.5)
+    for k, n, v in rest.groupBy(bucket.alias("k")).agg(F.sum("n"), F.count(F.lit(1))).collect():
+        inside[k] = n + 0.5 * (v + 1)
+    table = train(pairs, steps) / np.log(10)
+    whole = float(np.log10(tokens + 0.5 * (kinds + 1)))
+    return Model(classes, known, table.astype(np.float32), np.log10(inside), whole, int(tokens)), counts
 
 
-def score_texts(docs: DataFrame, train_on: Column, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def score_texts(docs: DataFrame, train_on: Column, doc_id: str = "doc_id", text: str = "text", steps: int = STEPS) -> DataFrame:
     """One row per row of ``docs``: its id, held_out (not ``train_on``), n_tokens, n_known, train_tokens, base_score, score.
 
     Every whole text is scored; a null or empty one is the end token alone. Rows of one id, or a null id,
-    are scored each on its own. Texts are read a megabyte at a time and windows in bounded numbers; a word
-    of any length is one token, and those of over LONGEST bytes are never broadcast. What rarer words a text
+    are scored each on its own. Broadcast are a fixed number of words and classes. What rarer words a text
     has is written to the shared folder, joined with the table of all counts, and summed up by row.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (~F.coalesce(train_on, F.lit(False))).alias("held_out"))
-    model, counts = fit(rows.select("text", (~F.col("held_out")).alias("train")), "text", "train", rounds)
+    model, counts = fit(rows.select("text", (~F.col("held_out")).alias("train")), "text", "train", steps)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -375,7 +234,8 @@ def score_texts(docs: DataFrame, train_on: Column, doc_id: str = "doc_id", text:
         for batch in batches:
             out: dict[str, list] = {x: [] for x in ("key", "first", "n_tokens", "n_known", "base_score", "score", "rare")}
             ids, held, at = batch.column(0), batch.column(2), []
-            for i, (n, known, base, score, rare) in enumerate(shared.value.parts(batch.column(1).to_pylist())):
+            for i, x in enumerate(batch.column(1).to_pylist()):
+                n, known, base, score, rare = shared.value.parts(x)
                 for a in range(0, max(1, len(rare)), _TOGETHER):
                     own = (key, True, n, known, base, score) if a == 0 else (key, False, 0, 0, 0.0, 0.0)
                     for column, y in zip(out.values(), (*own, rare[a : a + _TOGETHER])):

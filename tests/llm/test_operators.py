@@ -231,7 +231,7 @@ def test_token_counts(spark):
 # scoring and classifiers
 def test_lm_scores(spark):
     docs = documents(spark)
-    rows = lm.score_texts(docs, id_bucket(F.col("doc_id"), 5) != 1).collect()
+    rows = lm.score_texts(docs, id_bucket(F.col("doc_id"), 5) != 1, steps=40).collect()
     own, counts = texts(docs), {}
     held = {i for i in own if zlib.crc32(str(i).encode()) % 5 == 1}
     for i in own:
@@ -251,47 +251,36 @@ def test_lm_scores(spark):
 
 
 def test_lm_scores_by_brute_force(spark, monkeypatch):
-    """Scores equal sums over explicitly normalised probabilities, whether counts are broadcast or joined; no word has the end's count twice."""
+    """Scores equal sums over the model's tables, whether counts are broadcast or joined; no word, nor the end, is counted twice."""
     docs = documents(spark).limit(60)
     learn = F.col("doc_id") % 2 == 0
     rows = docs.select("doc_id", "text", learn.alias("train"))
-    monkeypatch.setattr(lm, "LEAST", 3)
-    model, _ = lm.fit(rows)
+    model, _ = lm.fit(rows, steps=10)
+    assert np.allclose((10.0 ** model.table.astype(np.float64)).sum(1), 1, atol=1e-4)
     counts = {}
     for r in rows.collect():
         for w in [*words_of(r.text), lm.END] if r.train else ():
             counts[w] = counts.get(w, 0) + 1
-    outs, net = model.outputs, model.bilinear
-    r_, c_, s_, a_, q_, b_ = (x.astype(np.float64) for x in net.own)
     inside = np.full(lm.SHARED, 0.5)
     for w, n in counts.items():
-        if w not in outs.ids:
-            inside[lm.ending(w)] += n + 0.5
-
-    def log10p(before, word):
-        h = sum(r_[i] * c_[j] for j, i in enumerate(before))
-        k = int(outs.words([word])[0])
-        of = int(net.of[k])
-        first, last = net.starts[of], net.starts[of + 1]
-        x, y = s_ @ h + a_, q_[first:last] @ h + b_[first:last]
-        out = x[of] - np.log(np.exp(x).sum()) + y[k - first] - np.log(np.exp(y).sum())
-        return out / np.log(10) + (0 if word in outs.ids else np.log10((counts.get(word, 0) + 0.5) / inside[lm.ending(word)]))
+        if w not in model.classes:
+            inside[lm.ending_class(w) - lm.FREQUENT] += n + 0.5
 
     def score(text):
-        words = [*words_of(text), lm.END]
-        ids = [outs.ids[lm.END]] * lm.CONTEXT + outs.words(words).tolist()
-        return sum(log10p(ids[i : i + lm.CONTEXT][::-1], w) for i, w in enumerate(words))
+        total, before = 0.0, model.classes[lm.END]
+        for w in [*words_of(text), lm.END]:
+            k = model.classes.get(w, lm.ending_class(w))
+            total += model.table[before, k] + (0 if w in model.classes else np.log10((counts.get(w, 0) + 0.5) / inside[k - lm.FREQUENT]))
+            before = k
+        return total
 
     want = {r.doc_id: score(r.text) for r in rows.collect()}
-    got = {r.doc_id: r for r in lm.score_texts(docs, learn).collect()}
-    assert all(abs(got[i].score - want[i]) < 1e-4 * abs(want[i]) for i in want)
     monkeypatch.setattr(lm, "_TOGETHER", 7)
-    monkeypatch.setattr(lm, "_WINDOWS", 50)
-    for most in (400, 1):  # one word is less than the most frequent ones: none is broadcast but those that are outputs
+    for most in (300_000, 400, 1):  # one is less than the most frequent words: none is broadcast but those of their own class
         monkeypatch.setattr(lm, "BROADCAST_WORDS", most)
-        for r in lm.score_texts(docs, learn).collect():
-            x = got[r.doc_id]
-            assert (r.n_known, r.n_tokens) == (x.n_known, x.n_tokens) and abs(r.base_score - x.base_score) < 1e-6 * abs(x.base_score) and abs(r.score - x.score) < 0.05 * abs(x.score)
+        got = {r.doc_id: r for r in lm.score_texts(docs, learn, steps=10).collect()}
+        assert all(abs(got[i].score - want[i]) < 1e-4 * abs(want[i]) for i in want)
+        assert all(r.n_known == sum(w in counts for w in [*words_of(t), lm.END]) for r, t in ((got[i], t) for i, t in texts(docs).items()))
 
 
 def test_lm_scores_odd_rows(spark):
