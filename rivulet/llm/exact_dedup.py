@@ -18,6 +18,8 @@ from rivulet.llm.common import ascii_lower, shared_dir, stable, with_locator, wr
 
 #: Groups with more rows than 1 / HOT of all, and than LEAST_HOT, are joined by broadcast.
 HOT, LEAST_HOT = 5000, 1000
+#: Micro-batches that the stream takes the records in, about: keyed state is met again by all but the first.
+BATCHES = 4
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -45,8 +47,12 @@ def fold(records: DataFrame, folder: str, files_per_batch: int | None = None) ->
 
     ``records`` (digest, id, _file, _row) are the Parquet files in ``folder``, which the stream reads. Every
     batch writes the keys that it changed to a folder of its own, anew if it runs again. As a group only
-    grows and its id only rises, the largest values are the last ones.
+    grows and its id only rises, the largest values are the last ones. By default the files come in BATCHES
+    micro-batches, or as many as there are files, whatever the size of the corpus.
     """
+    make = records.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{folder}/part-*")
+    files = len(make.getFileSystem(records.sparkSession._jsc.hadoopConfiguration()).globStatus(make))
+    files_per_batch = files_per_batch or max(1, -(-files // BATCHES))
     spark = records.sparkSession.newSession()
     for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         spark.conf.set(name, records.sparkSession.conf.get(name))
@@ -58,9 +64,7 @@ def fold(records: DataFrame, folder: str, files_per_batch: int | None = None) ->
     base = shared_dir(spark, "state")
     out = f"{base}/updates"
     best = F.max(F.struct("id", "_file", "_row")).alias("top")
-    reader = spark.readStream.schema(records.schema)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    reader = spark.readStream.schema(records.schema).option("maxFilesPerTrigger", files_per_batch)
     state = reader.parquet(folder).groupBy("digest").agg(best, F.count(F.lit(1)).alias("group_size"))
 
     def sink(batch: DataFrame, number: int) -> None:
@@ -69,9 +73,8 @@ def fold(records: DataFrame, folder: str, files_per_batch: int | None = None) ->
     query = state.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", f"{base}/stream").trigger(availableNow=True).start()
     query.awaitTermination()
     updates = records.sparkSession.read.schema(state.schema).parquet(out)
-    if files_per_batch:
-        updates = updates.groupBy("digest").agg(F.max("top").alias("top"), F.max("group_size").alias("group_size"))
-    return updates.select("digest", F.col("top.id").alias("keep_id"), F.col("top._file").alias("keep_file"), F.col("top._row").alias("keep_row"), "group_size")
+    updates = updates.groupBy("digest").agg(F.max("top").alias("top"), F.max("group_size").alias("group_size"))
+    return written(updates, "state").select("digest", F.col("top.id").alias("keep_id"), F.col("top._file").alias("keep_file"), F.col("top._row").alias("keep_row"), "group_size")
 
 
 def exact_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256, files_per_batch: int | None = None) -> DataFrame:
