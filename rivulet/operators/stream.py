@@ -29,6 +29,8 @@ class Context:
     names: dict[str, Any] = field(default_factory=dict)
     origin: int = 0
     reset_first_only: bool = False
+    #: On streams: seconds that rows may come late by their clock; state that has expired by then goes. None: state stays.
+    delay: int | None = None
 
 
 @dataclass(frozen=True)
@@ -208,7 +210,7 @@ class Stream:
         return self._stateful(run)
 
     def _folded(self, df: DataFrame, fold: folds.Fold) -> DataFrame:
-        out = runner.run(df.withColumn("__now", windows.second(df)), self.keys, [SEQ], fold)
+        out = runner.run(df.withColumn("__now", windows.second(df)), self.keys, [SEQ], fold, CLOCK, self.context.delay)
         names = [c for c in out.columns if not c.startswith("__")]
         return out.select(*[F.col(f"`{c}`") for c in names], *[c for c in out.columns if c.startswith("__") and c != "__now"])
 
@@ -357,7 +359,7 @@ def tuple_join(sides: Sequence[tuple[str, Stream]], on: Sequence[Sequence[tuple[
     done = frames[names[0]].select(F.struct(*[F.col(f"`{c}`") for c in visible(frames[names[0]])]).alias(f"t_{names[0]}"), SEQ, CLOCK, *first.keys)
     held = [names[0]]
     for added, own in steps:
-        done = _fold_join(done, held, added, own, frames, expire, first.keys)
+        done = _fold_join(done, held, added, own, frames, expire, first.keys, first.context.delay)
         held += added
     cols, seen = [], set()
     for n, f, a in to:
@@ -375,7 +377,7 @@ def _payload(name: str, s: Stream) -> DataFrame:
     return s.frames[name] if name in s.frames else next(iter(s.frames.values()))
 
 
-def _fold_join(done: DataFrame, held: Sequence[str], added: Sequence[str], own: dict[str, list[Field]], frames: dict[str, DataFrame], expire: Period, group: Sequence[str]) -> DataFrame:
+def _fold_join(done: DataFrame, held: Sequence[str], added: Sequence[str], own: dict[str, list[Field]], frames: dict[str, DataFrame], expire: Period, group: Sequence[str], delay: int | None = None) -> DataFrame:
     """The rows of ``done`` (a struct t_x for each held tuple) joined with those of ``added``."""
 
     def key(df: DataFrame, field_list: Sequence[Field], prefix: bool) -> list:
@@ -402,7 +404,7 @@ def _fold_join(done: DataFrame, held: Sequence[str], added: Sequence[str], own:
     for i, s in enumerate(sides):
         rows = s.select(*[(F.col("__p") if j == i else F.lit(None).cast(t)).alias(f"__p{j}") for j, t in enumerate(types)], *keys, SEQ, CLOCK, F.lit(i).alias("__side"), F.unix_seconds(CLOCK).alias("__now"))
         both = rows if both is None else both.unionByName(rows)
-    out = runner.run(both, keys, [CLOCK, SEQ, "__side"], folds.TupleJoin(expire.seconds, len(sides)))
+    out = runner.run(both, keys, [CLOCK, SEQ, "__side"], folds.TupleJoin(expire.seconds, len(sides)), CLOCK, delay)
     cols = [F.col("__p0").getField(f"t_{n}").alias(f"t_{n}") for n in held]
     cols += [F.col(f"__p{i + 1}").alias(f"t_{n}") for i, n in enumerate(added)]
     return out.select(*cols, SEQ, CLOCK, *group)

@@ -71,7 +71,7 @@ class Session:
     records that were posted.
     """
 
-    def __init__(self, spark: SparkSession, warehouse: str | None = None, origin: int = 0, streaming: bool = False, reset_first_only: bool = False):
+    def __init__(self, spark: SparkSession, warehouse: str | None = None, origin: int = 0, streaming: bool = False, reset_first_only: bool = False, delay: int | None = None):
         self.spark, self.warehouse, self.streaming = spark, warehouse, streaming
         ship(spark)
         self.schemas: dict[str, TupleSchema] = {}
@@ -85,7 +85,7 @@ class Session:
         self.sinks: dict[str, Callable[..., Callable[[DataFrame], None]]] = dict(self._default_sinks())
         self.fetches: dict[str, Callable[..., lookups.Fetch]] = dict(self._default_fetches())
         self.sources: dict[str, Callable[..., DataFrame]] = dict(self._default_sources())
-        self.context = Context(self.functions, {}, origin, reset_first_only)
+        self.context = Context(self.functions, {}, origin, reset_first_only, delay)
         self.arrivals = 0
         self.clear()
 

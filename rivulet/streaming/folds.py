@@ -26,9 +26,13 @@ class Fold:
     def start(self) -> Any:
         raise NotImplementedError
 
-    def row(self, state: Any, row: Row) -> list[Row]:
+    def row(self, state: Any, row: Row) -> Iterable[Row]:
         raise NotImplementedError
 
+    def until(self, state: Any) -> int | None:
+        """The last second at which the state matters: after it, a new one gives the same. None if it always does."""
+        return None
+
 
 @dataclass
 class LimitTime(Fold):
@@ -54,6 +58,9 @@ class LimitTime(Fold):
         state["last"] = row
         return out
 
+    def until(self, state: dict) -> int | None:
+        return state["until"] if self.first else None
+
 
 @dataclass
 class LimitRows(Fold):
@@ -103,6 +110,9 @@ class FilterGroup(Fold):
             state[i] = 0
         return [out]
 
+    def until(self, state: list[int]) -> int | None:
+        return max(state)
+
 
 @dataclass
 class TupleJoin(Fold):
@@ -134,6 +144,9 @@ class TupleJoin(Fold):
         rest = {k: v for k, v in row.items() if not k.startswith("__p")}
         return ({**rest, **{f"__p{i}": p for i, p in enumerate(one)}} for one in product(*taken))
 
+    def until(self, state: list) -> int | None:
+        return max((own[-1][0] for own in state if own), default=0)
+
 
 # aggregates with eviction, for SLIDE, SNAPSHOT and running EACH in streams, and for user-defined ones
 

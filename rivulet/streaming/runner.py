@@ -25,9 +25,13 @@ def _output(df: DataFrame, fold: Fold) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType) for f in df.schema if f.name not in names] + list(added))
 
 
-def run(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold) -> DataFrame:
-    """``fold`` over the rows of each group (equal ``keys``) in ``order``. Without keys all rows are one group."""
-    return _stream(df, keys, order, fold) if df.isStreaming else _batch(df, keys, order, fold)
+def run(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold, clock: str | None = None, delay: int | None = None) -> DataFrame:
+    """``fold`` over the rows of each group (equal ``keys``) in ``order``. Without keys all rows are one group.
+
+    On streams with a ``delay`` (seconds), rows come at most that much later than the newest by their
+    ``clock``, later ones are dropped, and a group's state goes once it can matter no more.
+    """
+    return _stream(df, keys, order, fold, clock, delay) if df.isStreaming else _batch(df, keys, order, fold)
 
 
 def _batch(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold) -> DataFrame:
@@ -56,17 +60,19 @@ def _batch(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold)
     return dealt.sortWithinPartitions(*keys, *order).mapInArrow(folded, schema)
 
 
-def _stream(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold) -> DataFrame:
+def _stream(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold, clock: str | None, delay: int | None) -> DataFrame:
     """The state is kept, pickled, under the group's key in the state store; rows of a micro-batch are folded in order.
 
-    Such state needs the RocksDB store, which the session is set to.
+    Such state needs the RocksDB store, which the session is set to. Timers clear it as the watermark passes.
     """
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     schema = _output(df, fold)
     names = schema.names
+    timed = clock is not None and delay is not None
 
     class Processor(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
             self.kept = handle.getValueState("state", T.StructType([T.StructField("raw", T.BinaryType())]))
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
@@ -75,9 +81,19 @@ def _stream(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold
                 for out in fold.row(state, row):
                     yield Row(**{n: out.get(n) for n in names})
             self.kept.update((pickle.dumps(state),))
+            if timed and (until := fold.until(state)) is not None:
+                for old in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(old)
+                self.handle.registerTimer(max((until + 1) * 1000, timerValues.getCurrentWatermarkInMs() + 1))
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+            self.kept.clear()
+            return iter(())
 
         def close(self) -> None: ...
 
     dealt = df if keys else df.withColumn("__all", F.lit(0))
-    out = dealt.groupBy(*(keys or ["__all"])).transformWithState(Processor(), schema, "Append", "None")
-    return out
+    if timed:
+        dealt = dealt.withWatermark(clock, f"{delay} seconds")
+        return dealt.groupBy(*(keys or ["__all"])).transformWithState(Processor(), schema, "Append", "EventTime")
+    return dealt.groupBy(*(keys or ["__all"])).transformWithState(Processor(), schema, "Append", "None")

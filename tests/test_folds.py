@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from rivulet.functions.user import load
-from rivulet.operators.stream import Stream, tuple_join
+from rivulet.operators.stream import Context, Stream, tuple_join
+from rivulet.operators.windows import SEQ
 from rivulet.plans.nodes import Field, Period
-from rivulet.sources import readers
+from rivulet.sources import readers, writers
 from rivulet.streaming.folds import Aggregates, TupleJoin
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
@@ -69,6 +70,48 @@ def test_streaming_windows_close(spark, tmp_path):
     assert got and set(got) <= set(want)
 
 
+def test_state_of_streams_goes_when_it_has_expired(spark, tmp_path):
+    """With a delay, groups that fall silent leave the state store; rows that still match are found."""
+    path = str(tmp_path / "in")
+    schema = "n long, k long, side int, at timestamp"
+    # a hundred keys in the first minute, each once; then one key, an hour later for the second time
+    for k, rows in enumerate(([(i, i, 0, i % 60) for i in range(100)], [(100, 5, 1, 50)], [(101, 200, 0, 4000)], [(102, 200, 1, 4005)], [(103, 6, 1, 4010)], [(104, 7, 1, 4011)])):
+        spark.createDataFrame(rows, "n long, k long, side int, s long").select("n", "k", "side", F.timestamp_seconds("s").alias("at")).coalesce(1).write.mode("append").parquet(path)
+    live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    s = Stream({"e": readers.prepared(live, "n", "at")}, context=Context(delay=0))
+    out = s.begin_group("k").filter_group(Period(300, "5min"), ["side = 0", "side = 1"]).each("n, k").df
+    name = f"q{abs(hash(str(tmp_path))) % 10**9}"
+    q = out.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r.n for r in spark.table(name).collect()) == [100, 102]
+    kept = [p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators]
+    assert max(kept) > 90 and kept[-1] < 20
+
+
+def test_upsert_of_merged_tuples_and_repeated_batches(spark, tmp_path):
+    """Each tuple sets its own fields; a batch that is written again leaves what one writing leaves; a cut switch is mended."""
+    path = str(tmp_path / "c")
+    write = writers.upsert(path, ["k"])
+    rows = spark.createDataFrame([(1, "a", None, 5, 0), (1, None, 7, 3, 1), (1, "b", None, 9, 0), (2, None, 8, 4, 1), (1, "old", None, 1, 0)], f"k int, x string, y int, {SEQ} long, {writers.FROM} int")
+    for _ in range(2):
+        write(rows.repartition(3), "one_0", [["k", "x"], ["k", "y"]])
+    read = lambda: sorted(tuple(r) for r in writers.collection(spark, path).select("k", "x", "y").collect())
+    assert read() == [(1, "b", 7), (2, None, 8)]
+    write(spark.createDataFrame([(2, "c", 1, 0), (None, "n", 2, 0)], f"k int, x string, {SEQ} long, {writers.FROM} int"), "one_1", [["k", "x"]])
+    assert sorted(map(str, writers.collection(spark, path).collect())) == sorted(map(str, spark.createDataFrame([(1, "b", 7), (2, "c", 8), (None, "n", None)], "k int, x string, y int").collect()))
+    (tmp_path / "c").rename(tmp_path / "c__before")
+    assert writers.collection(spark, path).count() == 3
+    lines = str(tmp_path / "lines")
+    sink = writers.folder_emit(lines)
+    for name, n in (("b_0", 3), ("b_0", 3), ("b_1", 2)):
+        sink(spark.range(n).repartition(2), name)
+    assert spark.read.text(lines).count() == 5
+
+
+def test_kafka_offsets_of_all_partitions():
+    assert json.loads(readers.kafka_options("s", "t", 7, partitions=3)["startingOffsets"]) == {"t": {"0": 7, "1": 7, "2": 7}}
+
+
 def test_restart_goes_on_from_the_checkpoint(spark, tmp_path):
     path, out = str(tmp_path / "in"), str(tmp_path / "out")
     df = spark.read.parquet(EVENTS).limit(100)
