@@ -76,11 +76,12 @@ class _Script:
 _PYTHON = {int: "bigint", float: "double", str: "string", bool: "boolean", list: "array<string>"}
 
 
-def load(name: str, location: str) -> UserFunction:
+def load(name: str, location: str, code: str | None = None) -> UserFunction:
     """From ``package.module.Class`` or a ``.py`` file with functions evaluate (and exclude, clear). Other scripts aren't supported."""
     if location.endswith(".py"):
-        with open(location) as f:
-            code = f.read()
+        if code is None:
+            with open(location) as f:
+                code = f.read()
 
         def make() -> Any:
             names: dict[str, Any] = {}

@@ -12,6 +12,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rivulet.accounts import ROOT, Files, Users
 from rivulet.errors import QueryError
 from rivulet.functions.expressions import Binder, visible
 from rivulet.functions.user import UserFunction, load
@@ -71,7 +72,7 @@ class Session:
     records that were posted.
     """
 
-    def __init__(self, spark: SparkSession, warehouse: str | None = None, origin: int = 0, streaming: bool = False, reset_first_only: bool = False, delay: int | None = None):
+    def __init__(self, spark: SparkSession, warehouse: str | None = None, origin: int = 0, streaming: bool = False, reset_first_only: bool = False, delay: int | None = None, user: str = ROOT):
         self.spark, self.warehouse, self.streaming = spark, warehouse, streaming
         ship(spark)
         self.schemas: dict[str, TupleSchema] = {}
@@ -87,6 +88,7 @@ class Session:
         self.sources: dict[str, Callable[..., DataFrame]] = dict(self._default_sources())
         self.context = Context(self.functions, {}, origin, reset_first_only, delay)
         self.arrivals = 0
+        self.users, self.files = Users(user), Files(spark, f"{warehouse}/files" if warehouse else None)
         self.clear()
 
     def clear(self) -> None:
@@ -362,7 +364,7 @@ class Session:
             self.views[a["name"]] = (a["source"], a["condition"], a["comment"])
             return "OK"
         if kind == "CREATE FUNCTION":
-            self.functions[a["name"].lower()] = load(a["name"].lower(), a["location"])
+            self.functions[a["name"].lower()] = load(a["name"].lower(), a["location"], self.files.text(a["location"]))
             return "OK"
         if kind in ("DESC TUPLE", "DROP TUPLE"):
             schema = self._known(self.schemas, a["name"], "tuple")
@@ -384,6 +386,25 @@ class Session:
                 return json.dumps({"name": f.name, "type": "UDAF" if f.aggregate else "UDF", "location": f.location, "returns": f.returns})
             del self.functions[a["name"].lower()]
             return "OK"
+        if kind in ("CREATE USER", "ALTER USER"):
+            (self.users.create if kind == "CREATE USER" else self.users.alter)(a["name"], a["password"])
+            return "OK"
+        if kind == "DROP USER":
+            self.users.drop(a["name"], a["name"] == self.users.owner and bool(self.schemas or self.topologies))
+            return "OK"
+        if kind in ("DESC USER", "SHOW USERS"):
+            return self.users.describe() if kind == "DESC USER" else self.users.show()
+        if kind == "UPLOAD":
+            self.files.upload(a["path"])
+            return "OK"
+        if kind == "DROP FILE":
+            self.files.drop(a["name"])
+            return "OK"
+        if kind in ("DESC FILE", "SHOW FILES"):
+            return json.dumps(self.files.known(a["name"]) if kind == "DESC FILE" else list(self.files.all.values()))
+        if kind == "POST":
+            self.post(a["name"], a["record"])
+            return "OK"
         if kind.startswith("SHOW "):
             own = {"TUPLES": self.schemas, "VIEWS": self.views, "FUNCTIONS": self.functions}.get(kind[5:])
             return json.dumps(sorted(own)) if own is not None else json.dumps([{"name": t.name, "status": t.status} for t in self.topologies.values()])

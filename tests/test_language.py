@@ -1,5 +1,7 @@
 """The language's rules, on records posted one by one."""
 
+import json
+
 import pytest
 
 from rivulet.errors import QueryError
@@ -201,3 +203,25 @@ def test_commands(spark, tmp_path):
     for bad in ("SUBMIT TOPOLOGY x", "DESC TUPLE zzz", "DROP TOPOLOGY zzz", "FROM zzz EMIT * USING keep()", "FROM a USING odd() EMIT * USING keep()"):
         with pytest.raises(QueryError):
             s.execute(bad)
+
+
+def test_users_and_files(spark, tmp_path):
+    s = Session(spark, warehouse=str(tmp_path / "w"))
+    script = tmp_path / "f.py"
+    script.write_text("def evaluate(x) -> int:\n    return x + 1\n")
+    assert s.run(f"CREATE USER ann IDENTIFIED BY 'one'; ALTER USER 'ann' IDENTIFIED BY 'two'; UPLOAD '{script}'; SHOW FILES")[:3] == ["OK"] * 3
+    assert [u["name"] for u in json.loads(s.execute("SHOW USERS"))] == ["root", "ann"] and json.loads(s.execute("DESC USER"))["name"] == "root"
+    assert s.users.all["ann"].matches("two") and not s.users.all["ann"].matches("one") and b"two" not in s.users.all["ann"].digest
+    assert json.loads(s.execute("DESC FILE f.py"))["size"] == script.stat().st_size
+    out = Collected()
+    s.sinks["keep"] = lambda: out
+    s.run("CREATE FUNCTION up AS 'f.py'; CREATE TUPLE a (x INT); POST a {\"x\": 4}; FROM a USING memory_spout() EACH up(x) AS y EMIT * USING keep(); SUBMIT TOPOLOGY t; DROP FILE f.py; DROP USER ann;")
+    assert [tuple(r) for r in out.rows] == [(5,)] and s.execute("SHOW FILES") == "[]"
+    for bad in ("DROP USER root", "DROP USER ann", "CREATE USER root IDENTIFIED BY 'x'", "DESC FILE f.py", "UPLOAD /no/such/file"):
+        with pytest.raises(QueryError):
+            s.execute(bad)
+    other = Session(spark, user="bob")
+    assert other.execute("ALTER USER bob IDENTIFIED BY 'x'") == "OK"
+    for bad in ("SHOW USERS", "CREATE USER c IDENTIFIED BY 'x'", "ALTER USER root IDENTIFIED BY 'x'"):
+        with pytest.raises(QueryError):
+            other.execute(bad)
