@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
+import functools
+from datetime import datetime, timedelta
+
+import numpy as np
 
 from rivulet.errors import QueryError
 
@@ -10,6 +13,11 @@ _MONTHS = {m: i for i, m in enumerate("JAN FEB MAR APR MAY JUN JUL AUG SEP OCT N
 _DAYS = {d: i for i, d in enumerate("SUN MON TUE WED THU FRI SAT".split(), 1)}
 
 
+_FIRST = datetime(1970, 1, 1)
+#: Days since 1970 of the years that a schedule may name.
+_LEAST, _MOST = 0, (datetime(2199, 12, 31) - _FIRST).days
+
+
 class CronSchedule:
     """The instants of a cron expression, in UTC. Days of the week run from 1 (Sunday); one of both day fields is ?."""
 
@@ -51,25 +59,35 @@ class CronSchedule:
         dom = last if self.last_day else day.day in self.days
         return day.year in self.years and day.month in self.months and dom and (day.isoweekday() % 7 + 1) in self.weekdays
 
-    def between(self, low: int, high: int, most: int = 5_000_000) -> list[int]:
-        """Epoch seconds of the instants from ``low`` on, up to the first one after ``high``."""
-        out: list[int] = []
-        day = datetime.fromtimestamp(low, timezone.utc).replace(hour=0, minute=0, second=0)
-        empty = 0
-        while True:
-            if self._day(day):
-                base = int(day.timestamp())
-                for h in sorted(self.hours):
-                    for m in sorted(self.minutes):
-                        for s in sorted(self.seconds):
-                            t = base + 3600 * h + 60 * m + s
-                            if t >= low:
-                                out.append(t)
-                            if t > high:
-                                return out
-                if len(out) > most:
-                    raise QueryError(f"{self.text!r} has over {most} instants in the data's time")
-            empty += 1
-            if empty > 366 * 200:
-                return out
-            day += timedelta(days=1)
+    @functools.cached_property
+    def _of_day(self) -> np.ndarray:
+        """The schedule's seconds of a day."""
+        return np.array(sorted(3600 * h + 60 * m + s for h in self.hours for m in self.minutes for s in self.seconds), np.int64)
+
+    def _next_day(self, day: int) -> int:
+        """The first day of the schedule from ``day`` on, in days since 1970; -1 if there is none."""
+        at = _FIRST + timedelta(days=day)
+        while at.year <= max(self.years):
+            if self._day(at):
+                return (at - _FIRST).days
+            at += timedelta(days=1)
+        return -1
+
+    def after(self, seconds: np.ndarray) -> np.ndarray:
+        """The first instant after each of ``seconds`` (epoch); -1 where there is none. No instants are listed: a day's seconds and the days at hand are enough."""
+        day, second = np.divmod(np.asarray(seconds, np.int64), 86400)
+        days, at = np.unique(day, return_inverse=True)
+        own = np.array([self._next_day(d) if _LEAST <= d <= _MOST else -1 for d in days.tolist()], np.int64)
+        then = np.array([self._next_day(d + 1) if _LEAST <= d + 1 <= _MOST else -1 for d in days.tolist()], np.int64)
+        k = np.searchsorted(self._of_day, second, side="right")
+        today = (own[at] == day) & (k < len(self._of_day))
+        later = np.where(own[at] > day, own[at], then[at])
+        out = np.where(today, day * 86400 + self._of_day[np.minimum(k, len(self._of_day) - 1)], later * 86400 + self._of_day[0])
+        return np.where(today | (later >= 0), out, -1)
+
+    def between(self, low: int, high: int) -> list[int]:
+        """The instants from ``low`` on, up to the first one after ``high``."""
+        out, t = [], low - 1
+        while t <= high and (t := int(self.after(np.array([t]))[0])) >= 0:
+            out.append(t)
+        return out

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -197,15 +196,12 @@ def period_bucket(df: DataFrame, seconds: int, origin: int) -> DataFrame:
 
 def cron_bucket(df: DataFrame, schedule: CronSchedule) -> DataFrame:
     """``df`` plus __tmp_b: the first instant of the schedule after the row's clock, in epoch seconds."""
-    low, high = df.agg(F.min(second(df)), F.max(second(df))).first()
-    instants = np.array(schedule.between(low, high) if low is not None else [], np.int64)
-    shared = df.sparkSession.sparkContext.broadcast(instants)
 
     @F.arrow_udf("long")
     def after(x: pa.Array) -> pa.Array:
-        at = np.searchsorted(shared.value, x.to_numpy(zero_copy_only=False), side="right")
-        ends = np.append(shared.value, -1)[at]
-        return pa.array(ends, mask=ends < 0)
+        known = x.is_valid().to_numpy(zero_copy_only=False)
+        ends = schedule.after(x.fill_null(0).to_numpy(zero_copy_only=False))
+        return pa.array(ends, mask=(ends < 0) | ~known)
 
     return df.withColumn("__tmp_b", after(second(df))).where(F.col("__tmp_b").isNotNull())
 

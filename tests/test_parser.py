@@ -1,3 +1,7 @@
+import random
+from datetime import datetime, timedelta
+
+import numpy as np
 import pytest
 
 from rivulet.errors import QueryError
@@ -58,3 +62,22 @@ def test_cron():
     for bad in ("0 0 0", "61 * * * * ?", "x * * * * ?"):
         with pytest.raises(QueryError):
             CronSchedule(bad)
+
+
+@pytest.mark.parametrize("text", ["0 0 0/6 * * ? *", "*/7 * * * * ?", "0 30 8 L * ?", "15 10 3 ? * MON-FRI 2024", "0 0 0 29 2 ?"])
+def test_cron_instants_follow_one_by_one(text):
+    own, start = CronSchedule(text), datetime(1970, 1, 1)
+    rng = random.Random(1)
+    at = [rng.randrange(1704067200, 1704067200 + 86400 * 400) for _ in range(25)]
+    for t, got in zip(at, own.after(np.array(at)).tolist()):
+        x, found = t + 1, -1
+        while found < 0 and x < t + 86400 * 1500:
+            d = start + timedelta(seconds=x)
+            if not own._day(d.replace(hour=0, minute=0, second=0)):
+                x = (x // 86400 + 1) * 86400
+            elif d.hour in own.hours and d.minute in own.minutes and d.second in own.seconds:
+                found = x
+            else:
+                x += 1
+        assert got == found
+    assert own.after(np.array([10**13])).tolist() == [-1]
