@@ -69,7 +69,8 @@ class Session:
 
     ``collections``: DataFrames for lookups by (database, collection) or table name. ``sinks``: factories of
     writers by processor name, which take the processor's arguments. A source without a table gives the
-    records that were posted.
+    records that were posted. ``delay``: on streams, seconds that rows may come late before state that has
+    expired goes. ``user``: whose statements these are.
     """
 
     def __init__(self, spark: SparkSession, warehouse: str | None = None, origin: int = 0, streaming: bool = False, reset_first_only: bool = False, delay: int | None = None, user: str = ROOT):
