@@ -306,7 +306,7 @@ class Aggregates(Fold):
         self.added = tuple((f"__r{i}", s[3]) for i, s in enumerate(self.specs))
 
     def start(self) -> dict:
-        return {"acc": [accumulator(n, d, u) for n, _, d, _, u in self.specs], "rows": deque(), "n": 0}
+        return {"acc": [accumulator(n, d, u) for n, _, d, _, u in self.specs], "rows": deque(), "n": 0, "ordered": True}
 
     def _args(self, row: Row) -> list[tuple]:
         return [tuple(row[f"__a{i}_{k}"] for k in range(s[1])) for i, s in enumerate(self.specs)]
@@ -317,16 +317,21 @@ class Aggregates(Fold):
             a.evaluate(*x)
         state["n"] += 1
         if self.kind in ("rows", "time"):
-            kept = state["rows"]
-            kept.append((row.get("__by"), args))
+            kept, by = state["rows"], row.get("__by")
+            if kept and self.kind == "time" and by < kept[-1][0]:
+                state["ordered"] = False
+            kept.append((by, args))
             gone = []
             if self.kind == "rows":
                 if len(kept) > self.length:
                     gone.append(kept.popleft())
+            elif state["ordered"]:  # what has expired stands at the head
+                while kept[0][0] < by - self.length:
+                    gone.append(kept.popleft())
             else:
-                gone = [x for x in kept if x[0] < row["__by"] - self.length]
+                gone = [x for x in kept if x[0] < by - self.length]
                 if gone:
-                    state["rows"] = deque(x for x in kept if x[0] >= row["__by"] - self.length)
+                    state["rows"] = deque(x for x in kept if x[0] >= by - self.length)
             for _, old in gone:
                 for a, x in zip(acc, old):
                     a.exclude(*x)
