@@ -264,22 +264,21 @@ def _beginnings(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """band, home (a component of the band), m nodes, o of them elsewhere, for bands of several components."""
-    homes = rows.groupBy("band").agg(F.min("component").alias("home"), F.max("component").alias("other"), F.count(F.lit(1)).alias("m")).where("home != other and m > 1")
-    away = rows.join(homes, "band").where("component != home").groupBy("band").agg(F.count(F.lit(1)).alias("o"))
-    return homes.select("band", "home", "m").join(away, "band")
+    """band, home (the component most of the band's nodes are in), m nodes, o of them elsewhere, for bands of several components."""
+    own = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    homes = own.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("home"), F.sum("n").alias("m"), F.max("n").alias("most"))
+    return homes.select("band", "home", "m", (F.col("m") - F.col("most")).alias("o")).where("o > 0")
 
 
 def _crossed(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, most: int = HELD) -> DataFrame:
     """Pairs (a, b) of one bucket but different components that may reach the threshold.
 
-    ``buckets``: band, node, component, center. What isn't in the center's component is compared with
-    all other nodes of the bucket, in blocks of about BLOCK by BLOCK nodes. Where buckets need more than one
-    block, their nodes are filed anew by the beginnings of their sets if that leaves fewer pairs to compare.
+    ``buckets``: band, node, component; they are read several times. What isn't in the component most of a
+    bucket's nodes are in is compared with all other nodes of the bucket, in blocks of about BLOCK by BLOCK
+    nodes. Where buckets need more than one block, their nodes are filed anew by the beginnings of their sets
+    if that leaves fewer pairs to compare.
     """
-    home = buckets.where("node = center").select("band", F.col("component").alias("home"))
-    sizes = buckets.join(home, "band").groupBy("band", "home").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("component") != F.col("home")).alias("o")).where("o > 0 and m > 2")
-    sizes = written(sizes, "sizes")
+    sizes = written(_mixed(buckets).where("m > 2"), "sizes")
     rows = buckets.join(sizes, "band").select("band", "node", "component", "home", "m", "o")
     cost = lambda df: df.agg(F.coalesce(F.sum(F.col("m").cast("double") * F.col("o")), F.lit(0.0))).first()[0]
     large = sizes.where(F.col("m") > BLOCK)
@@ -344,7 +343,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     found = components(links)
     placed = written(buckets.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
     mixed = placed.groupBy("band").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count(F.lit(1)).alias("n")).where("p != q and n > 2").select("band")
-    crossed = written(_crossed(placed.join(mixed, "band", "left_semi"), nodes, sets, percent, held), "crossed")
+    several = written(placed.join(mixed, "band", "left_semi").select("band", "node", "component"), "several")
+    crossed = written(_crossed(several, nodes, sets, percent, held), "crossed")
     if not crossed.isEmpty():
         links = links.union(verified(nodes, sets, crossed, percent))
         found = components(links)

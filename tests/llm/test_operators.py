@@ -138,6 +138,47 @@ def test_texts_that_share_a_passage_are_not_compared_with_each_other(spark):
     assert {r.node for r in filed.join(near_dedup._mixed(filed), "band").collect()} == {7, 300}
 
 
+def joined(spark, run, kind):
+    """Rows that joins of this kind have made while ``run`` was called."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    listed = lambda: [store.executionsList().apply(k).executionId() for k in range(store.executionsList().size())]
+    bus.waitUntilEmpty()
+    before, total = max(listed(), default=-1), 0
+    run()
+    bus.waitUntilEmpty()
+    for i in (i for i in listed() if i > before):
+        values, nodes = store.executionMetrics(i), store.planGraph(i).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            if "Join" in node.name() and kind in node.desc():
+                own = [node.metrics().apply(k) for k in range(node.metrics().size())]
+                total += sum(int(values.apply(m.accumulatorId()).replace(",", "")) for m in own if m.name() == "number of output rows" and values.contains(m.accumulatorId()))
+    return total
+
+
+@pytest.mark.parametrize("size", [4, 5])  # of op2_near_dedup, of the pipeline
+def test_buckets_of_a_large_group_are_picked_once(spark, monkeypatch, size):
+    """The nodes of buckets of several components come from the semi join once, however often they are read: at most one row for each node and band."""
+    rng = random.Random(7)
+    base, rows = [f"w{rng.randrange(5000)}" for _ in range(120)], []
+    for i in range(200):
+        own = list(base)
+        for _ in range(rng.randrange(8)):
+            own[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    docs, filed, written = spark.createDataFrame(rows, "doc_id long, text string"), [], near_dedup.written
+    monkeypatch.setattr(near_dedup, "written", lambda df, what: filed.append((what, written(df, what))) or filed[-1][1])
+    found = []
+    made = joined(spark, lambda: found.extend(near_dedup.near_duplicates(docs, size, 80).collect()), "LeftSemi")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(dict(rows), size, 80)
+    placed = next(df for what, df in filed if what == "placed").count()
+    assert 0 < made <= placed + 2 * len(rows)  # two semi joins by node besides
+
+
+def test_the_largest_component_of_a_bucket_is_not_compared_with_itself(spark):
+    rows = spark.createDataFrame([(1, i, 9) for i in range(5)] + [(1, 5, 2), (2, 5, 2)], "band long, node long, component long")
+    assert [(r.band, r.home, r.m, r.o) for r in near_dedup._mixed(rows).collect()] == [(1, 9, 6, 1)]
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = near_dedup.near_duplicates(odd(spark), 4, 80).collect()
     assert len(got) == 12 and sum(r.is_kept for r in got) == 12 - 3
