@@ -28,6 +28,8 @@ _STRETCH = 1 << 20
 UNDETERMINED = "und"
 #: Trigrams are hashed to 2 ** KNOWN_BITS places; known are those in this share of a language's sampled texts; texts with a larger share of others are not kept.
 KNOWN_BITS, KNOWN_SHARE, MOST_UNKNOWN = 20, 0.01, 0.5
+#: No text makes its trigrams usual alone in a language of so many sampled texts, of which all but the longest have so many trigrams.
+FEW_TEXTS, FEW_TRIGRAMS = 10, 4000
 
 
 @functools.cache
@@ -202,14 +204,20 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows_per_la
     return pickle.loads(rows[0][0]) if rows else Model([], np.zeros(0), np.zeros((0, 0)), np.zeros(0))
 
 
+def _usual(threes: list[np.ndarray]) -> np.ndarray:
+    """Whether a trigram's place is a usual one of the language whose texts have these (each at most once)."""
+    sizes = [len(x) for x in threes]
+    others = len(threes) >= FEW_TEXTS and sum(sizes) - max(sizes) >= FEW_TRIGRAMS
+    return np.bincount(np.concatenate(threes), minlength=1 << KNOWN_BITS) >= max(2 if others else 1, KNOWN_SHARE * len(threes))
+
+
 def _learned(rows: list[tuple[str, bytes, bytes, bytes]], usual: bool) -> Model:
     """The model of rows (lang, n-grams' places, their counts, trigrams' places)."""
     model = train([(np.frombuffer(at, "<u4").astype(np.int32), np.frombuffer(n, "<u4")) for _, at, n, _ in rows], [x for x, *_ in rows])
     if usual:
         model.known = np.zeros(1 << KNOWN_BITS, bool)
         for _, own in itertools.groupby(rows, key=lambda r: r[0]):
-            threes = [np.frombuffer(r[3], "<u4") for r in own]
-            model.known |= np.bincount(np.concatenate(threes), minlength=1 << KNOWN_BITS) >= max(1, KNOWN_SHARE * len(threes))
+            model.known |= _usual([np.frombuffer(r[3], "<u4") for r in own])
     return model
 
 
@@ -241,8 +249,8 @@ def keep_identified(docs: DataFrame, labelled: DataFrame, least: float = 0.5, te
     """The rows of ``docs`` whose language is found with a score of ``least`` or more, and whose text is of a learned language.
 
     It is where at most ``most_unknown`` of its trigrams are in less than KNOWN_SHARE of the sampled texts of
-    each language. Unlike the score, that share does not depend on the number of languages. In a language of
-    fewer than 1 / KNOWN_SHARE texts each is taken as usual.
+    each language, or in one text alone. Unlike the score, that share does not depend on the number of
+    languages. In a language of fewer than FEW_TEXTS texts, or of little text, each is taken as usual.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(labelled, text, lang, usual=True))
 

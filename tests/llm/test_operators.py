@@ -373,6 +373,20 @@ def test_language_stage_removes_gibberish(spark):
     assert got == {i for i, t in texts(docs).items() if any(c.isalpha() for c in t or "")}
 
 
+def test_language_stage_removes_gibberish_from_languages_of_few_texts(spark):
+    """A text does not vouch for itself: of 200 documents 17 are Spanish; one of random letters goes under that label, and what follows gets the others. Few short texts stay."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    docs = documents(spark)
+    gibberish = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))) for _ in range(60))
+    one = spark.createDataFrame([(-1, gibberish, "es")], "doc_id long, text string, lang string")
+    got = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.select("doc_id", "text", "lang").unionByName(one), SF).collect()}
+    assert got == {i for i, t in texts(docs).items() if any(c.isalpha() for c in t or "")}
+    short = docs.where("lang = 'es'").selectExpr("doc_id", "left(text, 40) AS text", "lang")
+    assert corpus_pipeline.language_id(spark, short, SF).count() == short.where(F.col("text").rlike(r"\p{L}")).count() > 9
+
+
 def test_toxicity(spark):
     rows = {r.doc_id: r for r in entry.op4_toxicity(spark, SF.replace("0.001", "0.1")).collect()}
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(SF.replace("0.001", "0.1") + "/labels.parquet").collect()}
