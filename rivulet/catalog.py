@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import os
 import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -502,8 +501,8 @@ def emit_to(spark, sf):
 
 @query("""SELECT o_orderkey, c_name AS name FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING'""")
 def join_jdbc(spark, sf):
-    """Rows are written to a database (Derby, in this process) by jdbc_persist and looked up from it by jdbc_fetch."""
-    url = f"jdbc:derby:memory:r{uuid.uuid4().hex};create=true"
+    """Rows are written to a database (Derby, in the driver's process, on its disk) by jdbc_persist and looked up from it by jdbc_fetch."""
+    url = f"jdbc:derby:{tempfile.mkdtemp(prefix='rivulet-')}/people;create=true"
     spark._jvm.java.sql.DriverManager.getConnection(url).createStatement().execute("CREATE TABLE people (id BIGINT, name VARCHAR(64), segment VARCHAR(16))")
     keep: list[DataFrame] = []
     s = Session(spark)

@@ -20,7 +20,7 @@ from rivulet.operators.stream import Context, Stream, tuple_join
 from rivulet.plans.nodes import Clause, Command, Processor, Query, TupleJoin, show
 from rivulet.plans.parser import parse, statements
 from rivulet.shipping import ship
-from rivulet.sources import lookups, readers, writers
+from rivulet.sources import embedded, lookups, readers, writers
 from rivulet.types import TupleSchema, from_json_lines, type_text
 
 
@@ -124,7 +124,9 @@ class Session:
         def jdbc(url: str, user: str, password: str, sql: str, *more: Any) -> lookups.Fetch:
             columns, table, keys, constants = lookups.jdbc_query(sql)
             own = self.collections.get(table)
-            if own is None:
+            if own is None and embedded.driver_only(self.spark, url):
+                own = embedded.read(self.spark, url, table, user, password, [*columns, *keys, *constants])
+            elif own is None:
                 own = self.spark.read.jdbc(url, table, properties={"user": user, "password": password})
             return lookups.table_lookup(own, keys, columns, constants)
 

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from rivulet.errors import QueryError
 from rivulet.operators.windows import SEQ
+from rivulet.sources import embedded
 from rivulet.storage import delete
 
 Write = Callable[..., None]
@@ -160,7 +161,10 @@ def upsert(path: str, keys: Sequence[str] = ()) -> Write:
 
 
 def jdbc_persist(url: str, user: str, password: str, sql: str) -> Write:
-    """INSERT INTO t (c, ...) VALUES (@f, ...): fields are bound by name; lists, maps and structs go as JSON."""
+    """INSERT INTO t (c, ...) VALUES (@f, ...): fields are bound by name; lists, maps and structs go as JSON.
+
+    Rows for a database in the driver's process pass through the driver.
+    """
     m = re.fullmatch(r"(?is)\s*insert\s+into\s+(\S+)\s*\(([^)]*)\)\s*values\s*\(([^)]*)\)\s*;?\s*", sql)
     if not m:
         raise QueryError("jdbc_persist takes INSERT INTO table (columns) VALUES (@fields)")
@@ -174,7 +178,10 @@ def jdbc_persist(url: str, user: str, password: str, sql: str) -> Write:
         return df.select(*[(F.to_json(f"`{x[1:]}`") if isinstance(types[x[1:]], nested) else F.col(f"`{x[1:]}`")).alias(c) for c, x in zip(columns, marks)])
 
     def write(df: DataFrame) -> None:
-        rows(df).write.mode("append").jdbc(url, m[1], properties={"user": user, "password": password})
+        if embedded.driver_only(df.sparkSession, url):
+            embedded.insert(rows(df), url, m[1], user, password)
+        else:
+            rows(df).write.mode("append").jdbc(url, m[1], properties={"user": user, "password": password})
 
     write.rows = rows
     return write

@@ -14,6 +14,12 @@ from rivulet.errors import QueryError
 _open: list[list[str]] = []
 
 
+def in_one_process(spark: SparkSession) -> bool:
+    """Whether all tasks run in the driver's process."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder under ``spark.checkpoint.dir``.
 
@@ -22,9 +28,8 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise QueryError(f"set spark.checkpoint.dir to a folder that driver and executors share (master is {master})")
+        if not in_one_process(spark):
+            raise QueryError(f"set spark.checkpoint.dir to a folder that driver and executors share (master is {spark.sparkContext.master})")
         base = tempfile.mkdtemp(prefix="rivulet-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/rivulet-{what}-{uuid.uuid4().hex}"

@@ -1,6 +1,9 @@
 """Every registered query against its SQL, at the smallest scale."""
 
 import math
+import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -44,3 +47,22 @@ def test_query(spark, db, name):
 def test_filters_and_columns_reach_the_scan(spark):
     plan = catalog.QUERIES["filter_compare"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(value,50" in plan and "props" not in plan
+
+
+_ON_EXECUTORS = """
+import sys
+from pyspark.sql import SparkSession
+from rivulet import catalog
+from rivulet.sources import embedded
+base, sf = sys.argv[1:]
+conf = {"spark.master": "local-cluster[2,1,1024]", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.sql.shuffle.partitions": "2", "spark.checkpoint.dir": f"file://{base}/shared"}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+embedded._CHUNK = 64
+print("rows", sorted(tuple(r) for r in catalog.QUERIES["join_jdbc"](spark, sf).select("o_orderkey", "name").collect()))
+"""
+
+
+def test_a_database_in_the_drivers_process_is_reached_from_executors(db, tmp_path):
+    run = subprocess.run([sys.executable, "-c", _ON_EXECUTORS, str(tmp_path), SF], capture_output=True, text=True, timeout=300, cwd=tmp_path, env=os.environ)
+    want = sorted(db.sql(f"SELECT o_orderkey, name FROM ({catalog.SQL['join_jdbc']})").fetchall())
+    assert f"rows {want}" in run.stdout.splitlines(), run.stderr[-2000:]
