@@ -5,14 +5,16 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator, Sequence
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from rivulet.streaming.folds import Fold
+from rivulet.streaming.spill import in_order
 
 #: Rows that are taken from, or given to, Spark at a time.
 _TOGETHER = 4096
@@ -60,40 +62,73 @@ def _batch(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold)
     return dealt.sortWithinPartitions(*keys, *order).mapInArrow(folded, schema)
 
 
+def _key(df: DataFrame, keys: Sequence[str]) -> Column:
+    """The group's key as one text, which is never null."""
+    own = [(F.col(k) + F.lit(0).cast(df.schema[k].dataType) if isinstance(df.schema[k].dataType, T.DoubleType | T.FloatType) else F.col(k)).alias(f"k{i}") for i, k in enumerate(keys)]
+    exact = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    return F.to_json(F.struct(*own), {"ignoreNullFields": "false", "timestampFormat": f"{exact}XXX", "timestampNTZFormat": exact}) if own else F.lit("")
+
+
 def _stream(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold, clock: str | None, delay: int | None) -> DataFrame:
     """The state is kept, pickled, under the group's key in the state store; rows of a micro-batch are folded in order.
 
     Such state needs the RocksDB store, which the session is set to. Timers clear it as the watermark passes.
+    Rows reach the fold pickled and leave it so, since only data frames of pandas stream in and out of it: a
+    group may have any number of rows in a micro-batch. They are sorted on the worker's disk.
     """
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     schema = _output(df, fold)
-    names = schema.names
+    names, columns = schema.names, df.columns
+    arrow = to_arrow_schema(schema)
     timed = clock is not None and delay is not None
+    kept = ["__key", *([clock] if timed else [])]
+    packed_schema = T.StructType([T.StructField("key", T.StringType()), *([T.StructField("at", df.schema[clock].dataType)] if timed else []), T.StructField("packed", T.BinaryType())])
+    packed_arrow = to_arrow_schema(packed_schema)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, _TOGETHER):
+                own = batch.slice(a, _TOGETHER)
+                rows = own.select(columns).to_pylist()
+                raw = [pickle.dumps(([(r[o] is not None, r[o]) for o in order], tuple(r.values()))) for r in rows]
+                yield pa.RecordBatch.from_arrays([*[own.column(k).cast(f.type) for k, f in zip(kept, packed_arrow)], pa.array(raw, pa.binary()).cast(packed_arrow[-1].type)], schema=packed_arrow)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0):
+                values = zip(*pickle.loads(raw.as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(values, arrow)], schema=arrow)
 
     class Processor(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
             self.kept = handle.getValueState("state", T.StructType([T.StructField("raw", T.BinaryType())]))
 
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
             state = pickle.loads(bytes(self.kept.get()[0])) if self.kept.exists() else fold.start()
-            for row in sorted((r.asDict(recursive=True) for r in rows), key=lambda r: [r[o] for o in order]):
-                for out in fold.row(state, row):
-                    yield Row(**{n: out.get(n) for n in names})
+            out = []
+            for _, values in in_order(bytes(x) for part in rows for x in part.iloc[:, -1]):
+                for one in fold.row(state, dict(zip(columns, values))):
+                    out.append(tuple(one.get(n) for n in names))
+                    if len(out) >= _TOGETHER:
+                        yield pd.DataFrame({"packed": [pickle.dumps(out)]})
+                        out = []
+            if out:
+                yield pd.DataFrame({"packed": [pickle.dumps(out)]})
             self.kept.update((pickle.dumps(state),))
             if timed and (until := fold.until(state)) is not None:
                 for old in list(self.handle.listTimers()):
                     self.handle.deleteTimer(old)
                 self.handle.registerTimer(max((until + 1) * 1000, timerValues.getCurrentWatermarkInMs() + 1))
 
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             self.kept.clear()
             return iter(())
 
         def close(self) -> None: ...
 
-    dealt = df if keys else df.withColumn("__all", F.lit(0))
+    dealt = df.withColumn("__key", _key(df, keys)).mapInArrow(pack, packed_schema)
     if timed:
-        dealt = dealt.withWatermark(clock, f"{delay} seconds")
-        return dealt.groupBy(*(keys or ["__all"])).transformWithState(Processor(), schema, "Append", "EventTime")
-    return dealt.groupBy(*(keys or ["__all"])).transformWithState(Processor(), schema, "Append", "None")
+        dealt = dealt.withWatermark("at", f"{delay} seconds")
+    folded = dealt.groupBy("key").transformWithStateInPandas(Processor(), "packed binary", "Append", "EventTime" if timed else "None")
+    return folded.mapInArrow(unpack, schema)

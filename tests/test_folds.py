@@ -1,6 +1,7 @@
 """Folds alone, and in streams against their result on bounded data."""
 
 import json
+import pickle
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from rivulet.operators.stream import Context, Stream, tuple_join
 from rivulet.operators.windows import SEQ
 from rivulet.plans.nodes import Field, Period
 from rivulet.sources import readers, writers
+from rivulet.streaming import runner
 from rivulet.streaming.folds import Aggregates, TupleJoin
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
@@ -165,3 +167,29 @@ def test_sinks(spark, tmp_path):
     fetch = lookups.web_fetch("http://x/?q=@s", "r[0]", ["id"], get=lambda u: json.dumps({"r": [[{"id": u[-3:]}]]}))
     s = Stream({"t": readers.prepared(df, "k")}).lookup(["id"], fetch)
     assert sorted(r[0] for r in s.each("id").df.collect()) == ["22b", "2Cy"]
+
+
+def test_a_group_of_a_stream_need_not_fit_in_memory(spark, tmp_path, monkeypatch):
+    """A group's rows of a micro-batch reach the fold in order, and its output leaves it, in parts: one record for each row, or all rows in one, would be held whole."""
+    path = str(tmp_path / "in")
+    n = 3 * runner._TOGETHER
+    spark.range(n).select("id", F.expr("CASE WHEN id % 2 = 0 THEN 1.5D END").alias("k"), F.timestamp_seconds("id").alias("at")).repartition(5).write.parquet(path)
+    live = spark.readStream.schema("id long, k double, at timestamp").parquet(path)
+    out = Stream({"e": readers.prepared(live, "id", "at")}).begin_group("k").each("id, k, at, count() AS n, sum(id) AS s").df
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithStateInPySpark" in plan and "packed" in plan
+    name = f"w{abs(hash(str(tmp_path))) % 10**9}"
+    out.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.id, r.k, int(r["at"].timestamp()), r.n, r.s) for r in spark.table(name).collect())
+    assert got == [(i, 1.5 if i % 2 == 0 else None, i, i // 2 + 1, sum(range(i % 2, i + 1, 2))) for i in range(n)]
+
+
+def test_spilled_rows_come_in_order(monkeypatch):
+    """Runs of 8 rows, four merged at a time, over several levels; equal ones stay as they come, and few are held at a time."""
+    from rivulet.streaming import spill
+
+    for name, n in (("RUN_ITEMS", 8), ("BLOCK", 3), ("FAN", 4)):
+        monkeypatch.setattr(spill, name, n)
+    own = [(i * 7919 % 101, i) for i in range(1000)]
+    assert list(spill.in_order(pickle.dumps(x) for x in own)) == sorted(own)
+    assert list(spill.in_order(iter(()))) == [] and list(spill.in_order([pickle.dumps((1,))])) == [(1,)]
