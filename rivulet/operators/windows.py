@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivulet.functions.aggregates import Frame, GroupFrame, TimeFrame, aggregate
+from rivulet.functions.aggregates import BlockFrame, Frame, GroupFrame, NotMergeable, TimeFrame, aggregate
 from rivulet.functions.expressions import Binder
 from rivulet.operators.cron import CronSchedule
 from rivulet.plans.nodes import Call, Field, Item
@@ -51,7 +51,7 @@ class _RangeTotals(Frame):
         self.local = Window.partitionBy("__tmp_range").orderBy(SEQ).rowsBetween(Window.unboundedPreceding, 0)
 
     def _no(self, c: Column) -> Column:
-        raise _NotMergeable
+        raise NotMergeable
 
     def _use(self, total: Column, running: Column) -> Column:
         if not self.ready:
@@ -71,11 +71,7 @@ class _RangeTotals(Frame):
         return self._use(F.sum(x), F.sum(x).over(self.local))
 
     def values(self, x: Column) -> Column:
-        raise _NotMergeable
-
-
-class _NotMergeable(Exception):
-    pass
+        raise NotMergeable
 
 
 def _ranges(df: DataFrame) -> DataFrame:
@@ -100,7 +96,7 @@ def each(df: DataFrame, keys: Sequence[str], items: Sequence[Item], bind: Bind,
     frame = _RangeTotals()
     try:
         bind(df, frame).items(items)
-    except _NotMergeable:  # sets and lists of all rows so far have no totals: their size alone forbids many rows
+    except NotMergeable:  # sets and lists of all rows so far have no totals: their size alone forbids many rows
         return project(df, items, bind(df, Frame(lambda c: c.over(whole))))
     ranged = _before(_ranges(df), frame.needed)
     frame.ready = True
@@ -139,6 +135,13 @@ def _without_copies(rows: DataFrame, items: Sequence[Item], binder: Binder) -> D
 def slide_time(df: DataFrame, keys: Sequence[str], seconds: int, by: Column, items: Sequence[Item], bind: Bind) -> DataFrame:
     """Aggregates over the rows of the last ``seconds``, in whole seconds of ``by``, that have arrived so far; for each row."""
     rows = df.withColumn("__tmp_s", F.unix_seconds(by)).where(F.col("__tmp_s").isNotNull())
+    block = seconds + 1
+    own = rows.withColumns({"__tmp_b": F.floor(F.col("__tmp_s") / block), "__tmp_copy": F.lit(False)})
+    both = own.unionByName(own.withColumns({"__tmp_b": F.col("__tmp_b") + 1, "__tmp_s": F.col("__tmp_s") + block, "__tmp_copy": F.lit(True)}))
+    try:
+        return _without_copies(both, items, bind(both, BlockFrame([*map(F.col, keys), F.col("__tmp_b")], F.col("__tmp_s"), SEQ, F.col("__tmp_copy"))))
+    except NotMergeable:  # lists and sets hold each window's rows
+        pass
     if keys:
         return project(rows, items, bind(rows, TimeFrame([F.col(k) for k in keys], F.col("__tmp_s"), SEQ, seconds)))
     size = max(seconds + 1, RANGE_SECONDS)

@@ -2,6 +2,7 @@
 
 import json
 import pickle
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -193,3 +194,20 @@ def test_spilled_rows_come_in_order(monkeypatch):
     own = [(i * 7919 % 101, i) for i in range(1000)]
     assert list(spill.in_order(pickle.dumps(x) for x in own)) == sorted(own)
     assert list(spill.in_order(iter(()))) == [] and list(spill.in_order([pickle.dumps((1,))])) == [(1,)]
+
+
+@pytest.mark.parametrize("keys", [[], ["g"]])
+def test_time_slides_add_each_row_at_most_twice(spark, keys):
+    """Counts and totals by running frames only, which take no row again; rows of negative seconds, of the same second, far apart, with nulls and infinities."""
+    rows = [(i, s, i % 2, None if i % 5 == 0 else i * (1 << 40), float("inf") if i == 3 else i / 4 if i % 3 else None) for i, s in enumerate([-25, -25, -14, -3, -3, 0, 6, 7, 7, 17, 18, 29, 40, 41, 400, 401, 411, 412])]
+    df = spark.createDataFrame(rows, "n long, s long, g int, x long, y double").withColumn("at", F.timestamp_seconds("s"))
+    s = Stream({"t": readers.prepared(df, "n", "at")})
+    out = (s.begin_group(*keys) if keys else s).slide(Period(10, "10sec"), "n, count() AS c, count(x) AS cx, sum(x) AS sx, sum(y) AS sy, avg(x) AS ax", "at").df
+    frames = re.findall(r"specifiedwindowframe\((\w+), ([^,]+), ([^)]+)\)", out._jdf.queryExecution().optimizedPlan().toString())
+    assert frames and all(begin == "unboundedpreceding$()" for _, begin, _ in frames), frames
+    for r in out.collect():
+        n, s, g = rows[r.n][:3]
+        seen = [q for q in rows if q[0] <= n and s - 10 <= q[1] and (not keys or q[2] == g)]
+        x, y = [q[3] for q in seen if q[3] is not None], [q[4] for q in seen if q[4] is not None]
+        assert (r.c, r.cx, r.sx, r.sy, r.ax) == (len(seen), len(x), sum(x), sum(y), sum(x) // len(x) if x else None), r
+    assert out.count() == len(rows)
