@@ -356,10 +356,11 @@ def tuple_join(sides: Sequence[tuple[str, Stream]], on: Sequence[Sequence[tuple[
         else:
             steps.append(([name], own))
     frames = {n: _payload(n, s) for n, s in sides}
-    done = frames[names[0]].select(F.struct(*[F.col(f"`{c}`") for c in visible(frames[names[0]])]).alias(f"t_{names[0]}"), SEQ, CLOCK, *first.keys)
+    held_fields = {n: _held_fields(n, visible(df), to, steps) for n, df in frames.items()}
+    done = frames[names[0]].select(F.struct(*[F.col(f"`{c}`") for c in held_fields[names[0]]]).alias(f"t_{names[0]}"), SEQ, CLOCK, *first.keys)
     held = [names[0]]
     for added, own in steps:
-        done = _fold_join(done, held, added, own, frames, expire, first.keys, first.context.delay)
+        done = _fold_join(done, held, added, own, frames, held_fields, expire, first.keys, first.context.delay)
         held += added
     cols, seen = [], set()
     for n, f, a in to:
@@ -377,7 +378,14 @@ def _payload(name: str, s: Stream) -> DataFrame:
     return s.frames[name] if name in s.frames else next(iter(s.frames.values()))
 
 
-def _fold_join(done: DataFrame, held: Sequence[str], added: Sequence[str], own: dict[str, list[Field]], frames: dict[str, DataFrame], expire: Period, group: Sequence[str], delay: int | None = None) -> DataFrame:
+def _held_fields(name: str, fields: Sequence[str], to: Sequence[tuple[str, str, str | None]], steps: Sequence[tuple[list[str], dict[str, list[Field]]]]) -> list[str]:
+    """The fields of a tuple that wait with its rows: those that TO sends and those of keys; one at least, since a struct needs one."""
+    sent = {f for n, f, _ in to if n == name}
+    keys = {f.parts[1][0].lower() for _, own in steps for f in own.get(name, ()) if len(f.parts) > 1}
+    return [c for c in fields if "*" in sent or c in sent or c.lower() in keys] or list(fields[:1])
+
+
+def _fold_join(done: DataFrame, held: Sequence[str], added: Sequence[str], own: dict[str, list[Field]], frames: dict[str, DataFrame], held_fields: dict[str, list[str]], expire: Period, group: Sequence[str], delay: int | None = None) -> DataFrame:
     """The rows of ``done`` (a struct t_x for each held tuple) joined with those of ``added``."""
 
     def key(df: DataFrame, field_list: Sequence[Field], prefix: bool) -> list:
@@ -397,7 +405,7 @@ def _fold_join(done: DataFrame, held: Sequence[str], added: Sequence[str], own:
     sides = [done.select(F.struct(*[f"t_{n}" for n in held]).alias("__p"), *[c.alias(f"__k{i}") for i, c in enumerate(key(done, before, True))], SEQ, CLOCK, *group)]
     for n in added:
         df = frames[n]
-        sides.append(df.select(F.struct(*[F.col(f"`{c}`") for c in visible(df)]).alias("__p"), *[c.alias(f"__k{i}") for i, c in enumerate(key(df, own[n], False))], SEQ, CLOCK, *group))
+        sides.append(df.select(F.struct(*[F.col(f"`{c}`") for c in held_fields[n]]).alias("__p"), *[c.alias(f"__k{i}") for i, c in enumerate(key(df, own[n], False))], SEQ, CLOCK, *group))
     types = [s.schema["__p"].dataType for s in sides]
     keys = [*group, *[f"__k{i}" for i in range(count)]]
     both = None

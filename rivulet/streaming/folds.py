@@ -23,6 +23,14 @@ class Fold:
 
     added: tuple[tuple[str, str], ...] = ()
 
+    def reads(self, column: str) -> bool:
+        """Whether the fold looks at the column's values; others it only passes on."""
+        return column == "__now" or column.startswith("__c") and column[3:].isdigit()
+
+    def payload(self, column: str) -> bool:
+        """Whether an output row may have the column from another row."""
+        return False
+
     def start(self) -> Any:
         raise NotImplementedError
 
@@ -124,6 +132,12 @@ class TupleJoin(Fold):
     seconds: int
     sides: int
 
+    def reads(self, column: str) -> bool:
+        return column in ("__now", "__side")
+
+    def payload(self, column: str) -> bool:
+        return column.startswith("__p") and column[3:].isdigit()
+
     def start(self) -> list[list[tuple[int, Any]]]:
         return [[] for _ in range(self.sides)]
 
@@ -302,6 +316,9 @@ class Aggregates(Fold):
     length: int = 0
     added: tuple[tuple[str, str], ...] = field(init=False)
 
+    def reads(self, column: str) -> bool:
+        return column == "__by" or column.startswith("__a")
+
     def __post_init__(self):
         self.added = tuple((f"__r{i}", s[3]) for i, s in enumerate(self.specs))
 

@@ -18,6 +18,8 @@ from rivulet.streaming.spill import in_order
 
 #: Rows that are taken from, or given to, Spark at a time.
 _TOGETHER = 4096
+#: On bounded data, the place of a row: its Arrow batch and number.
+REF = "__ref"
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -36,26 +38,75 @@ def run(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold, cl
     return _stream(df, keys, order, fold, clock, delay) if df.isStreaming else _batch(df, keys, order, fold)
 
 
+def _as(x: pa.Array, kind: pa.DataType) -> pa.Array:
+    """``x`` as ``kind``, which differs from its own type at most in the fields that may be null."""
+    if x.type == kind:
+        return x
+    if pa.types.is_struct(kind):
+        return pa.StructArray.from_arrays([_as(x.field(i), f.type) for i, f in enumerate(kind)], fields=list(kind), mask=x.is_null())
+    return pa.array(x.to_pylist(), kind) if pa.types.is_nested(kind) else x.cast(kind)
+
+
 def _batch(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold) -> DataFrame:
-    """Groups stream past in order, so a task holds one group's state, however many rows the group has."""
+    """Groups stream past in order, so a task holds one group's state, however many rows the group has.
+
+    Only the columns that the fold reads become values of Python. Others stay in their Arrow batch: a row has
+    the place of its own under ``REF``, a payload is a place too, and the output is taken from these places.
+    """
     schema = _output(df, fold)
     arrow = to_arrow_schema(schema)
+    added = {n for n, _ in fold.added}
+    read = [c for c in df.columns if fold.reads(c)]
+
+    def taken(places: list[tuple[pa.RecordBatch, int] | None], column: str, kind: pa.DataType) -> pa.Array:
+        """The values of ``column`` at these places; null where there is none."""
+        batches: dict[int, tuple[int, pa.RecordBatch]] = {}
+        at, end = [], 0
+        for p in places:
+            if p is None:
+                at.append(None)
+                continue
+            if id(p[0]) not in batches:
+                batches[id(p[0])] = (end, p[0])
+                end += p[0].num_rows
+            at.append(batches[id(p[0])][0] + p[1])
+        if not batches:
+            return pa.nulls(len(at), kind)
+        return _as(pa.concat_arrays([b.column(column) for _, b in batches.values()]).take(pa.array(at, pa.int64())), kind)
+
+    def given(out: list[dict]) -> pa.RecordBatch:
+        cols = []
+        for f in arrow:
+            if f.name in added:
+                cols.append(pa.array([r[f.name] for r in out], f.type))
+            else:
+                by = f.name if fold.payload(f.name) else REF
+                cols.append(taken([r.get(by) for r in out], f.name, f.type))
+        return pa.RecordBatch.from_arrays(cols, schema=arrow)
 
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, state, out = object(), None, []
-        for batch in batches:
-            for a in range(0, batch.num_rows, _TOGETHER):
-                for row in batch.slice(a, _TOGETHER).to_pylist():
-                    own = [row[k] for k in keys]
+        for whole in batches:
+            for a in range(0, whole.num_rows, _TOGETHER):
+                batch = whole.slice(a, _TOGETHER)
+                payloads = [c for c in batch.schema.names if fold.payload(c)]
+                groups = list(zip(*[batch.column(k).to_pylist() for k in keys])) or [()] * batch.num_rows
+                values = zip(*[batch.column(c).to_pylist() for c in read]) if read else [()] * batch.num_rows
+                for i, (own, one) in enumerate(zip(groups, values)):
                     if own != group:
                         group, state = own, fold.start()
-                    for one in fold.row(state, row):
-                        out.append(one)
+                    place = (batch, i)
+                    row = dict(zip(read, one))
+                    row[REF] = place
+                    for c in payloads:
+                        row[c] = place
+                    for r in fold.row(state, row):
+                        out.append(r)
                         if len(out) >= _TOGETHER:
-                            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                            yield given(out)
                             out = []
                 if out:
-                    yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                    yield given(out)
                     out = []
 
     dealt = df.repartition(*keys) if keys else df.coalesce(1)

@@ -211,3 +211,16 @@ def test_time_slides_add_each_row_at_most_twice(spark, keys):
         x, y = [q[3] for q in seen if q[3] is not None], [q[4] for q in seen if q[4] is not None]
         assert (r.c, r.cx, r.sx, r.sy, r.ax) == (len(seen), len(x), sum(x), sum(y), sum(x) // len(x) if x else None), r
     assert out.count() == len(rows)
+
+
+def test_joined_rows_wait_in_arrow_with_the_fields_that_are_sent(spark, monkeypatch):
+    """Rows wait over several batches; nested fields and nulls go through as they are; what is neither sent nor compared stays behind."""
+    a = spark.range(3000).select(F.col("id").alias("n"), (F.col("id") % 2).alias("k"), F.struct(F.when(F.col("id") % 3 > 0, F.array("id")).alias("l"), F.lit("x").alias("t")).alias("own"), F.lit("behind").alias("rest"), F.timestamp_seconds(F.lit(0)).alias("at"))
+    b = spark.createDataFrame([(1, 0, None), (2, 0, "late")], "m long, k long, t string").withColumn("at", F.timestamp_seconds(F.lit(1)))
+    monkeypatch.setattr(runner, "_TOGETHER", 100)
+    f = lambda t, n: Field(((t, ()), (n, ())))
+    sides = [("a", Stream({"a": readers.prepared(a, "n", "at")})), ("b", Stream({"b": readers.prepared(b, "m", "at")}))]
+    out = tuple_join(sides, [[(f("a", "k"), f("b", "k"))]], [("a", "n", None), ("a", "own", None), ("b", "m", None), ("b", "t", None)], Period(60, "1min"), "j").df
+    assert "behind" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r.n, r.own.l, r.own.t, r.m, r.t) for r in out.collect())
+    assert got == [(i, [i] if i % 3 else None, "x", 1, None) for i in range(0, 3000, 2)]
